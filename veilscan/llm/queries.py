@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import neardup, overlaps
+from veilscan.llm import leaks, neardup, overlaps, packing, splits
 from veilscan.session import table
 
 
@@ -38,4 +38,28 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.join(least, "group_key").select(_COLLECTION, "id", "group_id", "class_id", "n_links")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_groups": p5_groups}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.tied_samples(table(spark, d, "labelled_text"))
+
+
+def p4_split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign_splits(table(spark, d, "labelled_text"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.pack(table(spark, d, "documents")))
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "external_eval"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_matches(spark, d).filter("match = 'phrase'").select("doc_id", "item_id").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_split": p4_split, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_matches": p7_matches}
