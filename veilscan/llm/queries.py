@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import leaks, neardup, overlaps, packing, splits
+from veilscan.llm import leaks, neardup, overlaps, packing, quality, splits
 from veilscan.session import table
 
 
@@ -62,4 +62,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_matches(spark, d).filter("match = 'phrase'").select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_split": p4_split, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_matches": p7_matches}
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_statistics(spark, d).filter("kind IS NOT NULL").select("doc_id", "kind")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_split": p4_split, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_statistics": p8_statistics}
