@@ -55,18 +55,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse (mod 2**64), kept and doubled as needed."""
+    while len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, _INVERSE)):
+            step = U(pow(base, len(_POWERS[i]), 1 << 64))
+            _POWERS[i] = np.concatenate([_POWERS[i], _POWERS[i] * step])
+    return _POWERS
+
+
 def kgrams(flat: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, position) of every run of k words that stays inside its text."""
+    """(hash, row, position) of every run of k words that stays inside its text: a polynomial hash from running sums."""
     row = np.repeat(np.arange(len(sizes)), sizes)
-    start = np.cumsum(sizes) - sizes
-    pos = np.arange(len(flat)) - start[row]
-    ok = np.flatnonzero(pos <= sizes[row] - k)
+    pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ok = np.flatnonzero(pos <= np.repeat(sizes - k, sizes))
     if not len(ok):
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(len(ok), U)
-    for j in range(k):
-        h = h * U(0x9E3779B97F4A7C15) + flat[ok + j]
-    return mix(h + U(k)), row[ok], pos[ok]
+    up, down = _powers(len(flat))
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(flat * up[: len(flat)], dtype=U)])
+    return mix((sums[ok + k] - sums[ok]) * down[ok] + U(k)), row[ok], pos[ok]
 
 
 def text_class(flat: np.ndarray, sizes: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -89,14 +101,29 @@ def distinct_sets(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def jaccard(left: list[str | None], right: list[str | None], k: int = 3) -> np.ndarray:
-    """Exact overlap (intersection by union) of the two texts' sets of k consecutive words, pair by pair."""
+    """Exact overlap (intersection by union) of the two texts' sets of k consecutive words, pair by pair.
+
+    A text that stands in several pairs of the batch is read once.
+    """
     n = len(left)
-    sets = [distinct_sets(*kgrams(*word_hashes(side), k)[:2]) for side in (left, right)]
-    h = np.concatenate([s[0] for s in sets])
-    row = np.concatenate([s[1] for s in sets])
-    union = np.bincount(distinct_sets(h, row)[1], minlength=n)
-    total = np.bincount(row, minlength=n)
-    return np.where(union > 0, (total - union) / np.maximum(union, 1), 0.0)
+    number: dict[str | None, int] = {}
+    at = [np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (left, right)]
+    h, row, _ = kgrams(*word_hashes(list(number)), k)
+    h, row = distinct_sets(h, row)
+    count = np.bincount(row, minlength=len(number))
+    start = np.cumsum(count) - count
+    keys = []
+    for side in at:
+        size = count[side]
+        pair = np.repeat(np.arange(n), size)
+        i = np.repeat(start[side], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        keys.append((mix(h[i] + mix(pair.astype(U))), pair))
+    both = np.sort(np.concatenate([keys[0][0], keys[1][0]]))
+    met = both[1:][both[1:] == both[:-1]]  # in both sets: a pair's own hashes are distinct on each side
+    pair_of = keys[0][1][np.isin(keys[0][0], met)]
+    common = np.bincount(pair_of, minlength=n)
+    union = count[at[0]] + count[at[1]] - common
+    return np.where(union > 0, common / np.maximum(union, 1), 0.0)
 
 
 def in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -107,12 +134,13 @@ def in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def heavy_kgrams(rows: DataFrame, text: str, k: int, share: float, least: int = 50) -> np.ndarray:
-    """Hashes of k-grams that stand in at least ``share`` of the texts, and in ``least`` texts; sorted.
+def heavy_kgrams(rows: DataFrame, text: str, grams, share: float, least: int = 50) -> np.ndarray:
+    """Hashes of word runs that stand in the texts at least ``share`` times per text, and ``least`` times; sorted.
 
-    Each block of texts reports the k-grams that reach ``share / 2`` of the block, with their counts; a k-gram that
-    reaches ``share`` overall keeps at least half of it in the sums, which is the mark (so some rarer ones join). Every text is counted. A block reports at most
-    2 / share times its mean text length, and so does the result: the bound on what is broadcast.
+    ``grams`` gives a batch's hashes. Each block of texts reports the hashes that reach ``share / 2`` of the block, with their
+    counts; one that reaches ``share`` overall keeps at least half of it in the sums, which is the mark (so some rarer ones
+    join). Every text is counted. A block reports at most 2 / share times its mean text length, and so does
+    the result: the bound on what is broadcast.
     """
     block = 4_000_000
 
@@ -121,21 +149,21 @@ def heavy_kgrams(rows: DataFrame, text: str, k: int, share: float, least: int =
         size = n = 0
 
         def report() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U), np.zeros(0, np.int64))
-            big = c >= max(2, min(least / 2, n * share / 2))
+            h = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            c = np.diff(np.r_[first, len(h)])
+            big = np.flatnonzero(c >= max(2, min(least / 2, n * share / 2)))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.append(h[big], U(0)).view(np.int64)), pa.array(np.append(c[big], 0)), pa.array(np.append(np.zeros(big.sum(), np.int64), n))], ["h", "n", "texts"]
+                [pa.array(np.append(h[first[big]], U(0)).view(np.int64)), pa.array(np.append(c[big], 0)), pa.array(np.append(np.zeros(len(big), np.int64), n))], ["h", "n", "texts"]
             )
 
         for batch in batches:
-            h, row, _ = kgrams(*word_hashes(batch.column(0).to_pylist()), k)
-            h, row = distinct_sets(h, row)
-            held.append(h)
-            size, n = size + len(h), n + batch.num_rows
+            held.append(grams(*word_hashes(batch.column(0).to_pylist())))
+            size, n = size + len(held[-1]), n + batch.num_rows
             if size > block:
                 yield report()
                 held, size, n = [], 0, 0
-        if n:
+        if size:
             yield report()
 
     counts = rows.select(text).mapInArrow(count, "h bigint, n bigint, texts bigint")

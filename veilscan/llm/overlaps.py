@@ -19,9 +19,9 @@ TRAIN = ("train", "training", "trn", "tr", "learn")
 VALIDATION = ("validation", "valid", "val", "dev", "devel", "development", "eval", "evaluation")
 TEST = ("test", "testing", "tst", "holdout", "heldout")
 
-#: Texts of more than LONG words are fingerprinted by runs of 8 words, shorter ones by runs of 6; an 8-word minimum
-#: is taken from each 5 neighbours, so a common run of 12 words always shares one.
-LONG, K_LONG, K_SHORT, WINDOW = 40, 8, 6, 5
+#: Texts of more than LONG words are fingerprinted by runs of 10 words, shorter ones by runs of 6; of the long runs a minimum
+#: is taken from each 4 neighbours, so a common run of 13 words always shares one.
+LONG, K_LONG, K_SHORT, WINDOW = 40, 10, 6, 4
 #: Runs of words in at least this share of the texts are chosen last, and count as seeds only for texts of which they are most.
 COMMON = 0.001
 
@@ -48,50 +48,53 @@ def _minima(order: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
     return np.unique(start + values.argmin(1))
 
 
-def seeds(texts: list[str | None], held_out: np.ndarray, common: dict[int, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(row, fingerprint, position) of each text. Training texts give winnowed minima, held-out texts every run of words,
-    at the lengths at which a training text of half to twice their size may be fingerprinted."""
+def _runs(flat: np.ndarray, sizes: np.ndarray, k: int, held_out: bool | None) -> tuple[np.ndarray, ...]:
+    """Word runs of length k of the texts to which that length applies: training texts by their own size, held-out texts
+    where a training text of half to twice their size may be fingerprinted so. None: where either applies."""
+    if k == K_LONG:
+        asked = sizes > (LONG if held_out is False else LONG // 2)
+    else:
+        asked = sizes <= (LONG if held_out is False else 2 * LONG)
+    some = np.where(asked, sizes, 0)
+    h, row, pos = kgrams(flat[np.repeat(asked, sizes)], some, k)
+    return h, row, pos
+
+
+def seeds(texts: list[str | None], held_out: bool, common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, fingerprint, position) of each text: winnowed minima of training texts, every run of words of held-out texts."""
     flat, sizes = word_hashes(texts)
     out = []
     for k, window in ((K_LONG, WINDOW), (K_SHORT, 1)):
-        h, row, pos = kgrams(flat, sizes, k)
-        n = sizes[row]
-        asked = np.where(k == K_LONG, np.where(held_out[row], n > LONG // 2, n > LONG), np.where(held_out[row], n <= 2 * LONG, n <= LONG))
-        h, row, pos = h[asked], row[asked], pos[asked]
-        hot = in_sorted(h, common[k])
+        h, row, pos = _runs(flat, sizes, k, held_out)
+        hot = in_sorted(h, common)
         mostly = np.bincount(row, hot, minlength=len(sizes)) >= 0.4 * np.maximum(np.bincount(row, minlength=len(sizes)), 1)
-        take = np.ones(len(h), bool)
-        train = np.flatnonzero(~held_out[row])
-        take[train] = False
-        take[train[_minima((h[train] >> U(1)) | (hot[train].astype(U) << U(63)), row[train], window)]] = True
-        take &= ~hot | mostly[row]
+        if not held_out and window > 1:
+            at = _minima((h >> U(1)) | (hot.astype(U) << U(63)), row, window)
+            h, row, pos, hot = h[at], row[at], pos[at], hot[at]
+        take = ~hot | mostly[row]
         out.append((row[take], h[take], pos[take]))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def postings(rows: DataFrame, common: dict[int, np.ndarray]) -> DataFrame:
-    """(fp, class_id, held_out, pos) of every distinct text of a task; copies within a task count once."""
-    spread = rows.sparkSession.sparkContext.broadcast(common)
+def postings(rows: DataFrame, held_out: bool, common) -> DataFrame:
+    """(fp, class_id, pos) of every distinct text of a task; copies within a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, bool]] = set()
+        done: set[int] = set()
         for batch in batches:
-            texts, held = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            texts = batch.column(0).to_pylist()
             ids = text_class(*word_hashes(texts))
             fresh = []
-            for i, key in enumerate(zip(ids.tolist(), held.tolist())):
+            for i, key in enumerate(ids.tolist()):
                 if key not in done:
                     done.add(key)
                     fresh.append(i)
             if len(done) > 1_000_000:
                 done.clear()
-            texts, held, ids = [texts[i] for i in fresh], held[fresh], ids[fresh]
-            row, fp, pos = seeds(texts, held, spread.value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fp.view(np.int64)), pa.array(ids[row]), pa.array(held[row]), pa.array(pos.astype(np.int32))], ["fp", "class_id", "held_out", "pos"]
-            )
+            row, fp, pos = seeds([texts[i] for i in fresh], held_out, common.value)
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[fresh][row]), pa.array(pos.astype(np.int32))], ["fp", "class_id", "pos"])
 
-    return rows.mapInArrow(run, "fp bigint, class_id bigint, held_out boolean, pos int")
+    return rows.select("text").mapInArrow(run, "fp bigint, class_id bigint, pos int")
 
 
 def aligned(left: list[str], right: list[str], starts: list[tuple[int, int]]) -> int:
@@ -120,10 +123,10 @@ def class_overlaps(rows: DataFrame, least: float = 0.5, shingle: int = 3) -> Dat
     collinear and extended by alignment (``covered`` = share of the held-out text's words), and the exact overlap of
     the word-run sets decides.
     """
-    common = {k: heavy_kgrams(rows, "text", k, COMMON) for k in (K_LONG, K_SHORT)}
-    marks = postings(rows.select("text", F.col("side") != "train"), common)
-    train = marks.filter("NOT held_out").select("fp", F.col("class_id").alias("a"), F.col("pos").alias("i"))
-    held = marks.filter("held_out").select("fp", F.col("class_id").alias("b"), F.col("pos").alias("j"))
+    both = lambda flat, sizes: np.concatenate([_runs(flat, sizes, k, None)[0] for k in (K_LONG, K_SHORT)])
+    common = rows.sparkSession.sparkContext.broadcast(heavy_kgrams(rows, "text", both, COMMON))
+    train = postings(rows.filter("side = 'train'"), False, common).select("fp", F.col("class_id").alias("a"), F.col("pos").alias("i"))
+    held = postings(rows.filter("side <> 'train'"), True, common).select("fp", F.col("class_id").alias("b"), F.col("pos").alias("j"))
     met = train.join(held, "fp").groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("seeds"))
     pairs = stage(met, "overlap-pairs").df
     ta = class_texts(rows.filter("side = 'train'"), "text").select(F.col("class_id").alias("a"), F.col("text").alias("ta"))
