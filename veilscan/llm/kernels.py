@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +20,16 @@ U = np.uint64
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= _MOST_CACHED:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 _HASHES = _WordHashes()
+#: ASCII letters to lower case, digits as they are, all else to a space.
+_PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)).ljust(256)
 
 
 def words(text: str | None) -> list[str]:
@@ -34,16 +37,23 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def _word_bytes(text: str) -> list[bytes]:
+    if text.isascii():
+        return text.encode().translate(_PLAIN).split()
+    return [w.encode("utf-8", "surrogatepass") for w in WORD.findall(text.lower())]
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All words' 64-bit hashes, one text after the other, and the number of words of each text."""
-    flat: list[int] = []
+    flat = array("Q")
     sizes = np.zeros(len(texts), np.int64)
     get = _HASHES.__getitem__
     for i, t in enumerate(texts):
-        n = len(flat)
-        flat.extend(map(get, words(t)))
-        sizes[i] = len(flat) - n
-    return np.array(flat, dtype=U), sizes
+        if t:
+            found = _word_bytes(t)
+            flat.extend(map(get, found))
+            sizes[i] = len(found)
+    return np.frombuffer(flat, dtype=U) if len(flat) else np.zeros(0, U), sizes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,6 +101,18 @@ def text_class(flat: np.ndarray, sizes: np.ndarray, salt: int = 0) -> np.ndarray
     return out
 
 
+def fresh_rows(ids: np.ndarray, done: set[int]) -> np.ndarray:
+    """Which rows bring an id that the task has not had; ``done`` is kept, and emptied when it grows large."""
+    if len(done) > 1_000_000:
+        done.clear()
+    fresh = np.zeros(len(ids), bool)
+    for i, x in enumerate(ids.tolist()):
+        if x not in done:
+            done.add(x)
+            fresh[i] = True
+    return fresh
+
+
 def distinct_sets(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct hashes, ordered by row and hash."""
     order = np.lexsort((h, row))

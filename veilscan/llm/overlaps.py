@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.kernels import U, heavy_kgrams, in_sorted, kgrams, text_class, word_hashes, words
+from veilscan.llm.kernels import U, fresh_rows, heavy_kgrams, in_sorted, kgrams, text_class, word_hashes, words
 from veilscan.llm.kernels import jaccard as exact_overlap
 from veilscan.llm.pairs import EXPAND, class_texts, with_class
 from veilscan.session import stage
@@ -60,9 +60,8 @@ def _runs(flat: np.ndarray, sizes: np.ndarray, k: int, held_out: bool | None) ->
     return h, row, pos
 
 
-def seeds(texts: list[str | None], held_out: bool, common: np.ndarray) -> tuple[np.ndarray, ...]:
+def seeds(flat: np.ndarray, sizes: np.ndarray, held_out: bool, common: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, fingerprint, position) of each text: winnowed minima of training texts, every run of words of held-out texts."""
-    flat, sizes = word_hashes(texts)
     out = []
     for k, window in ((K_LONG, WINDOW), (K_SHORT, 1)):
         h, row, pos = _runs(flat, sizes, k, held_out)
@@ -82,17 +81,12 @@ def postings(rows: DataFrame, held_out: bool, common) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            ids = text_class(*word_hashes(texts))
-            fresh = []
-            for i, key in enumerate(ids.tolist()):
-                if key not in done:
-                    done.add(key)
-                    fresh.append(i)
-            if len(done) > 1_000_000:
-                done.clear()
-            row, fp, pos = seeds([texts[i] for i in fresh], held_out, common.value)
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[fresh][row]), pa.array(pos.astype(np.int32))], ["fp", "class_id", "pos"])
+            flat, sizes = word_hashes(batch.column(0).to_pylist())
+            ids = text_class(flat, sizes)
+            fresh = fresh_rows(ids, done)
+            row, fp, pos = seeds(flat[np.repeat(fresh, sizes)], sizes[fresh], held_out, common.value)
+            ids = ids[fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[row]), pa.array(pos.astype(np.int32))], ["fp", "class_id", "pos"])
 
     return rows.select("text").mapInArrow(run, "fp bigint, class_id bigint, pos int")
 
