@@ -56,6 +56,13 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(flat, dtype=U) if len(flat) else np.zeros(0, U), sizes
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Short slices of Arrow batches, so that the arrays made from one stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift, multiply), so that sums of word hashes spread evenly."""
     x = x ^ (x >> U(30))
@@ -179,7 +186,7 @@ def heavy_kgrams(rows: DataFrame, text: str, grams, share: float, least: int = 5
                 [pa.array(np.append(h[first[big]], U(0)).view(np.int64)), pa.array(np.append(c[big], 0)), pa.array(np.append(np.zeros(len(big), np.int64), n))], ["h", "n", "texts"]
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             held.append(grams(*word_hashes(batch.column(0).to_pylist())))
             size, n = size + len(held[-1]), n + batch.num_rows
             if size > block:

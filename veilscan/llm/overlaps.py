@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.kernels import U, fresh_rows, heavy_kgrams, in_sorted, kgrams, text_class, word_hashes, words
+from veilscan.llm.kernels import U, fresh_rows, heavy_kgrams, in_sorted, kgrams, slices, text_class, word_hashes, words
 from veilscan.llm.kernels import jaccard as exact_overlap
 from veilscan.llm.pairs import EXPAND, class_texts, with_class
 from veilscan.session import stage
@@ -80,7 +80,7 @@ def postings(rows: DataFrame, held_out: bool, common) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             flat, sizes = word_hashes(batch.column(0).to_pylist())
             ids = text_class(flat, sizes)
             fresh = fresh_rows(ids, done)
@@ -127,7 +127,7 @@ def class_overlaps(rows: DataFrame, least: float = 0.5, shingle: int = 3) -> Dat
     tb = class_texts(rows.filter("side <> 'train'"), "text").select(F.col("class_id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             left, right = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             share = exact_overlap(left, right, shingle)
             ok = np.flatnonzero(share >= least - 1e-12)

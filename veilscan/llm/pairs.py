@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.kernels import jaccard, text_class, word_hashes
+from veilscan.llm.kernels import jaccard, slices, text_class, word_hashes
 
 #: Groups of exact copies (and groups of records) beyond this size are given as pairs with their least member.
 EXPAND = 1000
@@ -26,7 +26,7 @@ def with_class(rows: DataFrame, text: str, salt: str | None = None, keep_text: b
     names = [c for c in rows.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             col = batch.column(batch.schema.get_field_index(text))
             flat, sizes = word_hashes(col.to_pylist())
             ids = text_class(flat, sizes)
@@ -57,7 +57,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, k: int = 3) -> Da
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             share = jaccard(batch.column(2).to_pylist(), batch.column(3).to_pylist(), k)
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], ["a", "b", "overlap"])
             yield out.filter(pa.array(share >= least - 1e-12))
