@@ -68,6 +68,7 @@ def _renames(values: DataFrame, ended: DataFrame, begun: DataFrame) -> DataFrame
     need = pairs.select(F.col("prev").alias("file_name"), F.col("old").alias("field"))
     need = need.union(pairs.select("file_name", F.col("new").alias("field"))).distinct()
     text = values.join(need, ["file_name", "field"]).filter("text <> 'null'").select("file_name", "field", "line_no", "text")
+    text = stage(text, "drift-text").df
     words = text.select("file_name", "field", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}_]+|[\d.]+"), F.lit(0))).alias("word"))
     bags = words.groupBy("file_name", "field", "word").agg(F.count("*").cast("double").alias("n"))
     norms = bags.groupBy("file_name", "field").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
@@ -184,21 +185,27 @@ def union_schema(schemas: DataFrame, renames: DataFrame) -> dict[str, tuple[list
 def unified_table(results: DataFrame) -> DataFrame:
     """All results in one table: a column per canonical field, cast to the union schema, one row per readable line.
 
-    A value that cannot be cast to its column's type becomes NULL only for number and boolean columns; columns
-    that met several kinds are text and keep every value. ``generated_at`` is restored from the file's name.
+    A column that met several kinds from file to file is text and keeps every value; a single value of another kind that
+    cannot be cast to its column's type is NULL there and stands, as text, in the map ``unfit`` under its field. ``generated_at`` is restored from the file's name.
     Field columns are prefixed ``f_`` so that they never clash with the file's own columns.
     """
     stages = drift_stages(results)
     changes = schema_changes(results, stages).filter("change_kind = 'renamed'")
     fields = union_schema(stages[1].df, changes)
     to = {"string": "string", "number": "double", "boolean": "boolean", "array<string>": "array<string>", "array<number>": "array<double>", "array<boolean>": "array<boolean>"}
-    cols = []
+    cols, unfit = [], []
     for name, (names, kind) in fields.items():
-        parts = []
+        parts, texts = [], []
         for n in names:
             at = "'$[\"" + n.replace("\\", "\\\\").replace("'", "\\'").replace('"', '\\"') + "\"]'"
             parts.append(F.expr(f"try_variant_get(doc, {at}, '{to.get(kind, 'string')}')"))
-        cols.append(F.coalesce(*parts).alias("f_" + name))
+            texts.append(F.expr(f"try_variant_get(doc, {at}, 'string')"))
+        value = F.coalesce(*parts)
+        cols.append(value.alias("f_" + name))
+        if to.get(kind, "string") != "string":
+            raw = F.coalesce(*texts)
+            unfit += [F.lit(name), F.when(value.isNull(), raw)]
     lines = read_lines(results).filter("schema_of_variant(doc) LIKE 'OBJECT%'")
+    rest = F.map_filter(F.create_map(*unfit), lambda k, v: v.isNotNull()) if unfit else F.expr("cast(map() as map<string,string>)")
     when = F.coalesce("generated_at", F.to_timestamp("file_time", "yyyyMMdd'T'HHmmss'Z'").cast(results.schema["generated_at"].dataType))
-    return lines.select("file_name", "lane", "suite", "line_no", when.alias("generated_at"), *cols)
+    return lines.select("file_name", "lane", "suite", "line_no", when.alias("generated_at"), *cols, rest.alias("unfit"))
