@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.llm import leaks, neardup, overlaps, packing, quality, splits
@@ -25,17 +25,18 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return samples.union(table(spark, d, "trap").select(F.lit(1).alias("coll"), F.col("trap_id").alias("id"), F.col("payload").alias("text")))
 
 
-_COLLECTION = F.when(F.col("coll") == 0, "labelled_text").otherwise("trap").alias("collection")
+def _collection() -> Column:
+    return F.when(F.col("coll") == 0, "labelled_text").otherwise("trap").alias("collection")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.group_pairs(neardup.near_groups(_records(spark, d))).select(_COLLECTION, "id_a", "id_b").distinct()
+    return neardup.group_pairs(neardup.near_groups(_records(spark, d))).select(_collection(), "id_a", "id_b").distinct()
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     groups = neardup.near_groups(_records(spark, d))
     least = groups.groupBy("group_key").agg(F.min("id").alias("group_id"))
-    return groups.join(least, "group_key").select(_COLLECTION, "id", "group_id", "class_id", "n_links")
+    return groups.join(least, "group_key").select(_collection(), "id", "group_id", "class_id", "n_links")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
