@@ -32,7 +32,8 @@ def findings(items: DataFrame, detectors: list[C.Detector] | None = None) -> Dat
     """(kind, id, seq, detector, method, severity, confidence): all detectors over one scan of the items, no shuffle."""
     detectors = C.DETECTORS if detectors is None else detectors
     rows = items.filter("text IS NOT NULL")
-    rows = rows.withColumns({f"{d.name}__{n}": count_of(F.col("text"), p) for d in detectors for n, p in d.counts.items()}).drop("text")
+    wide = F.octet_length("text") > F.length("text")
+    rows = rows.withColumns({f"{d.name}__{n}": F.when(wide, count_of(F.col("text"), p)).otherwise(F.lit(0).cast("bigint")) if d.wide else count_of(F.col("text"), p) for d in detectors for n, p in d.counts.items()}).drop("text")
     found = []
     for d in detectors:
         names = sorted(d.counts, key=len, reverse=True)
@@ -67,16 +68,19 @@ def sanitized(text: Column) -> Column:
 
 
 def injection_categories(items: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(kind, id, category, severity) of each item: rules that match, and one more row of multi_vector at three categories."""
+    """(kind, id, category, severity) of each item: rules that match, and one more row of multi_vector at three categories.
+
+    The matches pass through a Generate, so that the optimizer does not copy all patterns into each use of the array.
+    """
     rules = C.RULES if rules is None else rules
     text = F.col("text")
     bare = F.regexp_replace(F.lower(text), "[^b-df-hj-np-tv-z]", "")
     skeleton = F.when((F.length(bare) >= 12) & (contains_of(bare, C.SKELETONS) > 0), "vowel_skeleton")
     hits = F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(p), c) for c, p in rules], skeleton)))
-    hits = F.when(F.size(hits) >= 3, F.array_append(hits, F.lit("multi_vector"))).otherwise(hits)
-    rows = items.filter("text IS NOT NULL").select("kind", "id", F.explode(hits).alias("category"))
+    rows = items.filter("text IS NOT NULL").select("kind", "id", F.explode(F.array(hits)).alias("hits")).filter(F.size("hits") > 0)
+    hits = F.when(F.size("hits") >= 3, F.array_append("hits", F.lit("multi_vector"))).otherwise(F.col("hits"))
     severity = F.when(F.col("category").isin(*C.CRITICAL, "multi_vector"), 4).when(F.col("category").isin(*C.HIGH), 3).otherwise(2)
-    return rows.withColumn("severity", severity)
+    return rows.select("kind", "id", F.explode(hits).alias("category")).withColumn("severity", severity)
 
 
 def polarization(items: DataFrame) -> DataFrame:

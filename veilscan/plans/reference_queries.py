@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions import catalog as C
 from veilscan.operators import guards, scan
-from veilscan.session import table
+from veilscan.session import spread, table
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -25,7 +25,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     for kind, name, key, text in parts:
         part = table(spark, d, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(text).alias("text"))
         out = part if out is None else out.unionAll(part)
-    return out
+    return spread(out)
 
 
 def quoted(s: str) -> str:
