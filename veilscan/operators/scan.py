@@ -75,7 +75,7 @@ def injection_categories(items: DataFrame, rules: list[tuple[str, str]] | None =
     rules = C.RULES if rules is None else rules
     text = F.col("text")
     bare = F.regexp_replace(F.lower(text), "[^b-df-hj-np-tv-z]", "")
-    skeleton = F.when((F.length(bare) >= 12) & (contains_of(bare, C.SKELETONS) > 0), "vowel_skeleton")
+    skeleton = F.when(bare.rlike("|".join(C.SKELETONS)), "vowel_skeleton")
     hits = F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(p), c) for c, p in rules], skeleton)))
     rows = items.filter("text IS NOT NULL").select("kind", "id", F.explode(F.array(hits)).alias("hits")).filter(F.size("hits") > 0)
     hits = F.when(F.size("hits") >= 3, F.array_append("hits", F.lit("multi_vector"))).otherwise(F.col("hits"))
