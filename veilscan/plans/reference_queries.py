@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.functions import catalog as C
-from veilscan.operators import guards, scan
+from veilscan.media import binary
+from veilscan.ml import classifier
+from veilscan.operators import decode, guards, scan, structure
 from veilscan.session import spread, table
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +175,29 @@ _add(
     "mime_sniff", lambda s, d: items(s, d).select("kind", "id", F.when(F.col("text").isNull(), "none").when(F.col("text").rlike(r"(?is)^\s*(?:<!doctype html|<html|<[a-z]+[ >/])"), "text/html").when(F.col("text").rlike(r"(?s)^\s*[{\[]"), "application/json").when(F.col("text").rlike(r"^(?:[A-Za-z0-9+/]{4})+={0,2}$"), "application/base64").otherwise("text/plain").alias("mime")).groupBy("kind", "mime").agg(F.count("*").alias("n")),
     ITEMS_SQL + r" SELECT kind, mime, count(*) AS n FROM (SELECT kind, CASE WHEN text IS NULL THEN 'none' WHEN regexp_matches(text, '(?is)^\s*(?:<!doctype html|<html|<[a-z]+[ >/])') THEN 'text/html' WHEN regexp_matches(text, '(?s)^\s*[{\[]') THEN 'application/json' WHEN regexp_matches(text, '^(?:[A-Za-z0-9+/]{4})+={0,2}$') THEN 'application/base64' ELSE 'text/plain' END AS mime FROM items) GROUP BY kind, mime",
 )
+
+
+# Operators that SQL cannot express: rows only.
+_add("decoded_layers", lambda s, d: decode.decoded_layers(items(s, d)).filter("method IN ('base64', 'hex', 'percent')").select("kind", "id", "method", F.length("decoded").alias("chars"), F.md5("decoded").alias("md5")))
+_add("encoded_injection", lambda s, d: decode.encoded_injection(items(s, d)))
+_add("heavy_injection", lambda s, d: decode.heavy_injection(items(s, d)))
+_add("json_leaves", lambda s, d: structure.json_leaves(items(s, d)))
+_add("json_sanitize", lambda s, d: structure.sanitized_json(items(s, d)))
+_add("binary_scan", lambda s, d: binary.scan_binary(items(s, d).filter("text IS NOT NULL").select(F.concat_ws("/", "kind", "id").alias("path"), F.col("text").cast("binary").alias("content"))))
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    """A classifier fitted on the training split, scored on the held-out ones."""
+    rows = table(s, d, "labelled_text").filter("label IN (0, 1) AND text IS NOT NULL").select(F.lit("sample").alias("kind"), F.col("sample_id").alias("id"), "text", F.col("label").cast("double").alias("y"), F.lower(F.trim("split")).startswith("train").alias("is_train"))
+    rows = classifier.with_features(spread(rows.filter("is_train IS NOT NULL").dropDuplicates(["id"])))
+    return classifier.score(classifier.train(rows.filter("is_train")), rows.filter("NOT is_train"))
+
+
+_add("classifier_scores", lambda s, d: _scored(s, d).select("id", F.round("score", 6).alias("score"), "y"))
+_add("threshold_sweep", lambda s, d: classifier.thresholds(_scored(s, d)))
+
+_PLANT = "\u200b\u200c\u200d\u200b\u200b" + "".join(chr(0xE0000 + ord(c)) for c in "run") + "\ufe01\ufe02\u0301\u0301\u0301\u0301\u0301\u2003\u2009\u00a0\u202e\u3164\U0001d400\U0001d401\u2801\u2803" + "\U0001f44d\U0001f3fb" * 4 + "\u00ad\ufff9\u180b&#105;&#103;&#110; xn--a xn--b xn--c "
+_add(
+    "planted_findings", lambda s, d: scan.findings(items(s, d).withColumn("text", F.concat(F.lit(_PLANT), "text"))).groupBy("kind", "detector", "severity").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence")),
+    ITEMS_SQL.replace("WITH items AS (", "WITH unplanted AS (") + f", items AS (SELECT kind, id, {quoted(_PLANT)} || text AS text FROM unplanted) SELECT kind, detector, severity, count(*) AS n, round(avg(confidence), 6) AS confidence FROM ({_ALL}) GROUP BY kind, detector, severity",
+)
