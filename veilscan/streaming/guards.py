@@ -27,15 +27,17 @@ def stream_rates(events: DataFrame, key: str, ts: str, most: int, seconds: int =
     return rows.select(key, F.col("window.start").alias("start"), "n", (F.col("n") > most).alias("limited"))
 
 
-def fragment_guard(fragments: DataFrame, keep: int = 50, idle: str = "10 minutes") -> DataFrame:
-    """Per session the last ``keep`` fragments are joined and tested at each micro-batch; idle sessions are forgotten.
+def fragment_guard(fragments: DataFrame, keep: int = 50, idle: str | None = None) -> DataFrame:
+    """Per session the last ``keep`` fragments are joined and tested at each micro-batch.
 
-    ``fragments`` has session, seq and text; within a micro-batch they are taken in the order of seq.
+    ``fragments`` has session, seq and text; within a micro-batch they are taken in the order of seq. With ``idle`` (such as
+    "10 minutes" of processing time) sessions without news are forgotten; the stream then runs empty micro-batches to see
+    time pass, so it never counts as drained. Without it state is kept, at most ``keep`` texts a session.
     """
     import re
 
     rules = [re.compile(p) for p in C.FRAGMENT_RULES]
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,8 +48,9 @@ def fragment_guard(fragments: DataFrame, keep: int = 50, idle: str = "10 minutes
         kept = [*kept, *[t for t in new["text"] if isinstance(t, str)]][-keep:]
         n += len(new)
         state.update((n, kept))
-        state.setTimeoutDuration(wait)
+        if wait:
+            state.setTimeoutDuration(wait)
         joined = " ".join(kept)
         yield pd.DataFrame({"session": [key[0]], "n_seen": [n], "rules": [sum(bool(r.search(joined)) for r in rules)]})
 
-    return fragments.filter("session IS NOT NULL").groupBy("session").applyInPandasWithState(step, FRAGMENT_OUT, "n bigint, kept array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return fragments.filter("session IS NOT NULL").groupBy("session").applyInPandasWithState(step, FRAGMENT_OUT, "n bigint, kept array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
