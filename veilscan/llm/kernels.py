@@ -171,31 +171,46 @@ def heavy_kgrams(rows: DataFrame, text: str, grams, share: float, least: int = 5
     join). Every text is counted. A block reports at most 2 / share times its mean text length, and so does
     the result: the bound on what is broadcast.
     """
-    block = 4_000_000
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = n = 0
-
-        def report() -> pa.RecordBatch:
-            h = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            c = np.diff(np.r_[first, len(h)])
-            big = np.flatnonzero(c >= max(2, min(least / 2, n * share / 2)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.append(h[first[big]], U(0)).view(np.int64)), pa.array(np.append(c[big], 0)), pa.array(np.append(np.zeros(len(big), np.int64), n))], ["h", "n", "texts"]
-            )
-
+        counter = BlockCounter(share, least)
         for batch in slices(batches):
-            held.append(grams(*word_hashes(batch.column(0).to_pylist())))
-            size, n = size + len(held[-1]), n + batch.num_rows
-            if size > block:
-                yield report()
-                held, size, n = [], 0, 0
-        if size:
-            yield report()
+            yield from counter.add(grams(*word_hashes(batch.column(0).to_pylist())), batch.num_rows)
+        yield from counter.close()
 
     counts = rows.select(text).mapInArrow(count, "h bigint, n bigint, texts bigint")
+    return heavy_of(counts, share, least)
+
+
+class BlockCounter:
+    """Counts hashes block by block; reports (h, n, texts) rows, a block's texts on the row of hash 0."""
+
+    def __init__(self, share: float, least: int = 50, block: int = 4_000_000):
+        self.share, self.least, self.block = share, least, block
+        self.held: list[np.ndarray] = []
+        self.size = self.n = 0
+
+    def add(self, hashes: np.ndarray, texts: int) -> list[pa.RecordBatch]:
+        self.held.append(hashes)
+        self.size, self.n = self.size + len(hashes), self.n + texts
+        return self.close() if self.size > self.block else []
+
+    def close(self) -> list[pa.RecordBatch]:
+        if not self.size:
+            return []
+        h = np.sort(np.concatenate(self.held))
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        c = np.diff(np.r_[first, len(h)])
+        big = np.flatnonzero(c >= max(2, min(self.least / 2, self.n * self.share / 2)))
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(np.append(h[first[big]], U(0)).view(np.int64)), pa.array(np.append(c[big], 0)), pa.array(np.append(np.zeros(len(big), np.int64), self.n))], ["h", "n", "texts"]
+        )
+        self.held, self.size, self.n = [], 0, 0
+        return [out]
+
+
+def heavy_of(counts: DataFrame, share: float, least: int = 50) -> np.ndarray:
+    """The common hashes, sorted, from the reports of all blocks."""
     sums = stage(counts.groupBy("h").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "heavy")
     total = sums.df.agg(F.sum("texts")).first()[0] or 0
     kept = sums.df.filter(F.col("n") >= max(least, total * share) / 2).select("h").toArrow().column(0).to_numpy()
