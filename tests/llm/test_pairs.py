@@ -182,3 +182,21 @@ def test_assignment_is_even_and_keeps_groups(spark):
 
 def test_constants():
     assert pairs.LEAST_WORDS == 10 and abs(sum(splits.PROPORTIONS.values()) - 1) < 1e-9
+
+
+def met_pairs(rng, n_common, n_shared, n_own, common):
+    """Share of text pairs of true overlap n_shared / (n_shared + 2 n_own) that share MEET variants; n_common of the shared runs are common."""
+    found, trials = 0, 300
+    for _ in range(trials):
+        shared = [f"b{i}" for i in range(n_common + 2)] + [f"s{rng.randrange(10**9)}" for _ in range(n_shared - n_common)]
+        two = [" ".join(shared + [f"o{rng.randrange(10**9)}" for _ in range(n_own)]) for _ in range(2)]
+        row, v = neardup.variants(*kernels.word_hashes(two), common)
+        found += len(set(v[row == 0].tolist()) & set(v[row == 1].tolist())) >= neardup.MEET
+    return found / trials
+
+
+def test_common_runs_do_not_cost_recall():
+    rng = random.Random(3)
+    common = np.sort(kernels.kgrams(*kernels.word_hashes([" ".join(f"b{i}" for i in range(47))]), 3)[0])
+    for n_common in (0, 30, 45):
+        assert met_pairs(rng, n_common, 66, 34, common) > 0.95
