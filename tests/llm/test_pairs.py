@@ -200,3 +200,20 @@ def test_common_runs_do_not_cost_recall():
     common = np.sort(kernels.kgrams(*kernels.word_hashes([" ".join(f"b{i}" for i in range(47))]), 3)[0])
     for n_common in (0, 30, 45):
         assert met_pairs(rng, n_common, 66, 34, common) > 0.95
+
+
+def test_full_buckets_are_paired_whole(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FULL", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(45)]
+    texts = []
+    for _ in range(40):  # many small groups, all on one template
+        own = [f"w{rng.randrange(10**6)}" for _ in range(45)]
+        texts += [" ".join(template + edited(rng, own, 1)) for _ in range(3)]
+    base = [f"f{i}" for i in range(80)]
+    texts += [" ".join(edited(rng, base, 1)) for _ in range(60)]
+    got = neardup.near_groups(spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "coll int, id bigint, text string")).collect()
+    links = [sum(i != j and overlap(x, y) >= 0.5 for j, y in enumerate(texts)) for i, x in enumerate(texts)]
+    assert {r.id: r.n_links for r in got} == dict(enumerate(links))
+    assert len({r.group_key for r in got}) == 41

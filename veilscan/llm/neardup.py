@@ -27,8 +27,10 @@ TABLES, TUPLE, SHINGLE = 12, 3, 3
 #: Word runs that stand this often per record are common.
 COMMON = 0.002
 MEET = 3
-#: Buckets of up to this many texts are paired at once; fuller ones are split by a second variant.
-FULL = 32
+#: Buckets of up to this many texts are paired at once; fuller ones block against block, BLOCK texts each.
+FULL, BLOCK = 32, 1000
+#: The low bits of a variant say which one of a text's variants it is.
+PLACES = 128
 
 
 #: Odd multipliers: each is a permutation of the (already mixed) 64-bit hashes, and its minimum a sample of the set.
@@ -48,7 +50,8 @@ def _ball(h: np.ndarray, row: np.ndarray, space: int) -> tuple[np.ndarray, np.nd
             for j in range(TUPLE):
                 if j != drop:
                     v = mix(v * U(0x9E3779B97F4A7C15) + least[j])
-            out.append(v.view(np.int64))
+            place = t * TUPLE + drop + TABLES * TUPLE * space
+            out.append(((v & ~U(PLACES - 1)) | U(place)).view(np.int64))
     return np.tile(rows, len(out)), np.concatenate(out)
 
 
@@ -79,22 +82,21 @@ def _postings(rows: DataFrame, common: np.ndarray) -> DataFrame:
             ids = text_class(flat, sizes) ^ (salt << 56)
             fresh = fresh_rows(ids, done) & (sizes >= LEAST_WORDS)
             row, v = variants(flat[np.repeat(fresh, sizes)], sizes[fresh], spread.value)
-            yield pa.RecordBatch.from_arrays([pa.array(v ^ salt[fresh][row]), pa.array(ids[fresh][row])], ["variant", "class_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(v ^ (salt[fresh][row] * PLACES)), pa.array(ids[fresh][row])], ["variant", "class_id"])
 
     return rows.mapInArrow(run, "variant bigint, class_id bigint")
 
 
 def _buckets(postings: DataFrame, full: int, name: str):
-    """Pairs (variant 0) of each bucket of up to ``full`` texts; members of fuller ones come back with their variant.
+    """Pairs (variant 0) of each bucket of up to ``full`` texts; members of fuller ones come back with their variant (a = b).
 
-    A sorted partition is read once, front to back, and at most full + 1 members are held, whatever a bucket's size.
-    Fuller buckets also pair each member with the first and the one before it.
+    A sorted partition is read once, front to back, and at most full members are held, whatever a bucket's size.
     """
     ordered = postings.repartition("variant").sortWithinPartitions("variant")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[int] = []
-        now, size, prev, first = None, 0, 0, 0
+        now, size = None, 0
         a: list[int] = []
         b: list[int] = []
         v: list[int] = []
@@ -115,17 +117,14 @@ def _buckets(postings: DataFrame, full: int, name: str):
                 for x, c in zip(var[keep].tolist(), cls[keep].tolist()):
                     if x != now:
                         close()
-                        now, held, size, first = x, [c], 1, c
+                        now, held, size = x, [c], 1
                     elif c not in held:
                         size += 1
                         if size <= full:
                             held.append(c)
                         else:
-                            if size == full + 1:
-                                for p, m in zip([first, *held], held):
-                                    a.append(p), b.append(m), v.append(x)
-                            a.extend((first, prev)), b.extend((c, c)), v.extend((x, x))
-                    prev = c
+                            for m in (*held, c) if size == full + 1 else (c,):
+                                a.append(m), b.append(m), v.append(x)
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.int64())], ["a", "b", "variant"])
                 a, b, v = [], [], []
@@ -135,6 +134,54 @@ def _buckets(postings: DataFrame, full: int, name: str):
     return stage(ordered.mapInArrow(run, "a bigint, b bigint, variant bigint"), name).df
 
 
+def _mixed_pairs(over: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``met`` that reach MEET when the fuller buckets in which both stand are counted as well."""
+    held = over.groupBy("class_id").agg(F.collect_set("variant").alias("vs"))
+    both = met.join(held.select(F.col("class_id").alias("a"), F.col("vs").alias("va")), "a").join(held.select(F.col("class_id").alias("b"), F.col("vs").alias("vb")), "b")
+    return both.filter(F.col("n") + F.size(F.array_intersect("va", "vb")) >= MEET).select("a", "b")
+
+
+def _full_pairs(over: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share MEET fuller buckets or more, each from the first of them: every bucket is paired whole.
+
+    A bucket's texts are dealt into blocks, and each block meets each: what a task holds is two blocks, and a
+    bucket's work spreads over tasks.
+    """
+    held = over.groupBy("class_id").agg(F.collect_set("variant").alias("vs")).filter(F.size("vs") >= MEET)
+    blocks = over.groupBy("variant").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    rows = held.select("class_id", "vs", F.explode("vs").alias("variant")).join(blocks, "variant").withColumn("own", F.expr("pmod(xxhash64(class_id), k)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, k - 1)"))).select(
+        "variant", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "class_id", "vs"
+    )
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        variant, lo, hi = (group.column(c)[0].as_py() for c in ("variant", "lo", "hi"))
+        vs = group.column("vs").combine_chunks()
+        values = vs.flatten().to_numpy(zero_copy_only=False)
+        member = np.repeat(np.arange(len(group)), np.diff(vs.offsets.to_numpy()))
+        at = np.zeros((PLACES, len(group)), np.int64)
+        at[values & (PLACES - 1), member] = values
+        own, ids = group.column("own").to_numpy(), group.column("class_id").to_numpy()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        n = np.zeros((len(left), len(right)), np.int16)
+        before = np.zeros(n.shape, bool)
+        for place in np.flatnonzero(at.any(1)).tolist():
+            x, y = at[place, left], at[place, right]
+            same = (x[:, None] == y[None, :]) & (x != 0)[:, None]
+            n += same
+            if place < variant & (PLACES - 1):
+                before |= same
+        take = (n >= MEET) & ~before
+        if lo == hi:
+            take = np.triu(take, 1)
+        i, j = np.nonzero(take)
+        a, b = ids[left[i]], ids[right[j]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("variant", "lo", "hi").applyInArrow(meet, "a bigint, b bigint")
+
+
 READ = "coll int, id bigint, class_id bigint, text string, h bigint, n bigint, texts bigint"
 
 
@@ -170,14 +217,12 @@ def near_links(read: DataFrame, least: float = 0.5) -> DataFrame:
     common = heavy_of(read.filter("h IS NOT NULL").select("h", "n", "texts"), COMMON)
     records = read.filter("h IS NULL")
     found = _buckets(_postings(records.select("text", "coll"), common), FULL, "neardup-buckets")
-    over = found.filter("variant <> 0").select("variant", F.col("b").alias("class_id"))
-    over = over.union(found.filter("variant <> 0").select("variant", "a")).distinct()
-    found = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= MEET)
-    if not over.isEmpty():  # fuller buckets: texts that share two variants meet in a finer bucket
-        twice = over.groupBy("class_id").agg(F.array_sort(F.collect_set("variant")).alias("vs"))
-        finer = twice.select("class_id", F.explode(F.expr("flatten(transform(vs, (x, i) -> transform(slice(vs, i + 2, size(vs)), y -> xxhash64(x, y))))")).alias("variant"))
-        more = _buckets(finer.select("variant", "class_id"), 2 * FULL, "neardup-finer")
-        found = found.select("a", "b").union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    over = found.filter("variant <> 0").select("variant", F.col("a").alias("class_id")).distinct()
+    met = found.filter("variant = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    found = met.filter(F.col("n") >= MEET).select("a", "b")
+    if not over.isEmpty():
+        over = stage(over, "neardup-full").df
+        found = found.union(_full_pairs(over)).union(_mixed_pairs(over, met.filter(F.col("n") < MEET)))
     pairs = stage(found.select("a", "b").filter("a <> b").distinct(), "neardup-pairs").df
     return verified(pairs, records.groupBy("class_id").agg(F.first("text").alias("text")), least, SHINGLE)
 
