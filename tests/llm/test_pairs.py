@@ -217,3 +217,13 @@ def test_full_buckets_are_paired_whole(spark, monkeypatch):
     links = [sum(i != j and overlap(x, y) >= 0.5 for j, y in enumerate(texts)) for i, x in enumerate(texts)]
     assert {r.id: r.n_links for r in got} == dict(enumerate(links))
     assert len({r.group_key for r in got}) == 41
+
+
+def test_large_groups_of_different_texts_are_paired_whole(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "EXPAND", 5)
+    rows = [(0, i, i, 1, 0) for i in range(23)] + [(0, 100 + i, 99, 1, 0) for i in range(12)]
+    df = spark.createDataFrame(rows, "coll int, id bigint, class_id bigint, group_key bigint, n_links bigint")
+    got = [(r.id_a, r.id_b) for r in neardup.group_pairs(df).collect()]
+    lead = [*range(23), 100]
+    want = {(a, b) for a in lead for b in lead if a < b} | {(100, 100 + i) for i in range(1, 12)}
+    assert set(got) == want and len(got) == len(want)

@@ -247,13 +247,21 @@ def near_groups(records: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
-    """(coll, id_a, id_b) of records in one group; groups of more than EXPAND records are given as pairs with their least id."""
-    some = groups.select("coll", "id", "group_key").distinct()
-    sizes = some.groupBy("group_key").agg(F.count("*").alias("n"), F.min("id").alias("least_id")).filter("n > 1")
-    some = some.join(sizes, "group_key")
-    small = some.filter(F.col("n") <= EXPAND)
-    a = small.select("group_key", "coll", F.col("id").alias("id_a"))
-    b = small.select("group_key", F.col("id").alias("id_b"))
-    each = a.join(b, "group_key").filter("id_a < id_b").select("coll", "id_a", "id_b")
-    star = some.filter((F.col("n") > EXPAND) & (F.col("id") > F.col("least_id"))).select("coll", F.col("least_id").alias("id_a"), F.col("id").alias("id_b"))
+    """(coll, id_a, id_b) of records in one group.
+
+    Of more than EXPAND exact copies the one with the least id stands for all: it is paired with each copy and with
+    all else in the group; the copies' other pairs are left out. Records of different texts are paired however many a group
+    has, block against block.
+    """
+    some = groups.select("coll", "id", "class_id", "group_key").distinct()
+    some = some.join(some.groupBy("group_key").agg(F.count("*").alias("n")).filter("n > 1").select("group_key"), "group_key")
+    copies = some.groupBy("class_id").agg(F.count("*").alias("copies"), F.min("id").alias("least_id"))
+    some = some.join(copies, "class_id").withColumn("lead", (F.col("copies") <= EXPAND) | (F.col("id") == F.col("least_id")))
+    lead = some.filter("lead").select("group_key", "coll", "id").distinct()
+    blocks = lead.groupBy("group_key").agg(F.ceil(F.count("*") / EXPAND).alias("k"))
+    dealt = lead.join(blocks, "group_key").withColumn("own", F.expr("pmod(xxhash64(id), k)")).withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
+    a = dealt.select("group_key", "coll", F.col("id").alias("id_a"), F.col("own").alias("x"), F.col("other").alias("y"))
+    b = dealt.select("group_key", F.col("id").alias("id_b"), F.col("other").alias("x"), F.col("own").alias("y"))
+    each = a.join(b, ["group_key", "x", "y"]).filter("id_a < id_b").select("coll", "id_a", "id_b")
+    star = some.filter("NOT lead").select("coll", F.col("least_id").alias("id_a"), F.col("id").alias("id_b"))
     return each.union(star)
