@@ -227,3 +227,20 @@ def test_large_groups_of_different_texts_are_paired_whole(spark, monkeypatch):
     lead = [*range(23), 100]
     want = {(a, b) for a in lead for b in lead if a < b} | {(100, 100 + i) for i in range(1, 12)}
     assert set(got) == want and len(got) == len(want)
+
+
+def test_overlaps_without_long_common_runs(spark):
+    rng = random.Random(6)
+    rows = []
+    for every in (9, 10, 11, 13):  # one changed word in so many
+        base = [f"w{rng.randrange(10**6)}" for _ in range(180)]
+        rows.append((base, [f"x{rng.randrange(10**6)}" if i % every == every - 1 else w for i, w in enumerate(base)]))
+    lines = [[f"l{rng.randrange(10**6)}" for _ in range(8)] for _ in range(24)]
+    rows.append((sum(lines, []), sum(lines[::-1], [])))
+    short = [f"s{rng.randrange(10**6)}" for _ in range(30)]
+    rows += [(short, short * 3), (short * 3, short)]
+    data = [(10 * i + j, " ".join(t), ("train", "test")[j], "s") for i, two in enumerate(rows) for j, t in enumerate(two)]
+    want = {(x[0], y[0]) for x in data for y in data if x[2] == "train" and y[2] == "test" and overlap(x[1], y[1]) >= 0.5}
+    got = overlaps.cross_split_overlaps(spark.createDataFrame(data, "sample_id bigint, text string, split string, source string")).collect()
+    assert {(r.train_id, r.held_id) for r in got} == want and len(want) >= 7
+    assert all(0 < r.covered <= 1 for r in got)

@@ -1,4 +1,4 @@
-"""Records of held-out splits that also stand, exactly or nearly, in the training split (winnowing fingerprints)."""
+"""Records of held-out splits that also stand, exactly or nearly, in the training split (rarest-first prefixes of word-run sets)."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.kernels import U, fresh_rows, heavy_kgrams, in_sorted, kgrams, slices, text_class, word_hashes, words
+from veilscan.llm.kernels import U, distinct_sets, fresh_rows, heavy_kgrams, in_sorted, kgrams, slices, text_class, word_hashes, words
 from veilscan.llm.kernels import jaccard as exact_overlap
-from veilscan.llm.pairs import EXPAND, class_texts, with_class
+from veilscan.llm.pairs import EXPAND, LEAST_WORDS, class_texts, with_class
 from veilscan.session import stage
 
 #: Spellings of the splits, by letters only.
@@ -19,10 +19,9 @@ TRAIN = ("train", "training", "trn", "tr", "learn")
 VALIDATION = ("validation", "valid", "val", "dev", "devel", "development", "eval", "evaluation")
 TEST = ("test", "testing", "tst", "holdout", "heldout")
 
-#: Texts of more than LONG words are fingerprinted by runs of 10 words, shorter ones by runs of 6; of the long runs a minimum
-#: is taken from each 4 neighbours, so a common run of 13 words always shares one.
-LONG, K_LONG, K_SHORT, WINDOW = 40, 10, 6, 4
-#: Runs of words in at least this share of the texts are chosen last, and count as seeds only for texts of which they are most.
+#: Pairs must share this many runs of their prefixes (all that are needed, if fewer) before their texts are compared.
+MEET = 3
+#: Runs of words in at least this share of the texts are chosen last.
 COMMON = 0.001
 
 
@@ -48,54 +47,52 @@ def _minima(order: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
     return np.unique(start + values.argmin(1))
 
 
-def _runs(flat: np.ndarray, sizes: np.ndarray, k: int, held_out: bool | None) -> tuple[np.ndarray, ...]:
-    """Word runs of length k of the texts to which that length applies: training texts by their own size, held-out texts
-    where a training text of half to twice their size may be fingerprinted so. None: where either applies."""
-    if k == K_LONG:
-        asked = sizes > (LONG if held_out is False else LONG // 2)
-    else:
-        asked = sizes <= (LONG if held_out is False else 2 * LONG)
-    some = np.where(asked, sizes, 0)
-    h, row, pos = kgrams(flat[np.repeat(asked, sizes)], some, k)
-    return h, row, pos
-
-
-def seeds(flat: np.ndarray, sizes: np.ndarray, held_out: bool, common: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, fingerprint, position) of each text: winnowed minima of training texts, every run of words of held-out texts."""
-    out = []
-    for k, window in ((K_LONG, WINDOW), (K_SHORT, 1)):
-        h, row, pos = _runs(flat, sizes, k, held_out)
-        hot = in_sorted(h, common)
-        mostly = np.bincount(row, hot, minlength=len(sizes)) >= 0.4 * np.maximum(np.bincount(row, minlength=len(sizes)), 1)
-        if not held_out and window > 1:
-            at = _minima((h >> U(1)) | (hot.astype(U) << U(63)), row, window)
-            h, row, pos, hot = h[at], row[at], pos[at], hot[at]
-        take = ~hot | mostly[row]
-        out.append((row[take], h[take], pos[take]))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
-
-
-def postings(rows: DataFrame, held_out: bool, common) -> DataFrame:
-    """(fp, class_id, pos) of every distinct text of a task; copies within a task count once."""
+def prefixes(flat: np.ndarray, sizes: np.ndarray, common: np.ndarray, least: float, shingle: int) -> tuple[np.ndarray, ...]:
+    """(row, run, runs in the set): the first runs of each text's set in one order for all texts, common ones last.
+
+    An overlap of ``least`` needs ceil(least * n) shared runs. Of those the first MEET stand among the first
+    n - ceil(least * n) + MEET, in both texts, so that no such pair is missed, whatever the edits and the lengths.
+    """
+    h, row = distinct_sets(*kgrams(flat, sizes, shingle)[:2])
+    hot = in_sorted(h, common)
+    order = np.lexsort((h, hot, row))
+    h, row = h[order], row[order]
+    n = np.bincount(row, minlength=len(sizes))
+    need = np.ceil(least * n - 1e-9).astype(np.int64)
+    take = np.arange(len(h)) - (np.cumsum(n) - n)[row] < (n - need + np.minimum(need, MEET))[row]
+    return row[take], h[take], n[row[take]]
+
+
+def postings(rows: DataFrame, common, least: float, shingle: int) -> DataFrame:
+    """(fp, class_id, n) of every distinct text of a task; copies within a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in slices(batches):
             flat, sizes = word_hashes(batch.column(0).to_pylist())
             ids = text_class(flat, sizes)
-            fresh = fresh_rows(ids, done)
-            row, fp, pos = seeds(flat[np.repeat(fresh, sizes)], sizes[fresh], held_out, common.value)
+            fresh = fresh_rows(ids, done) & (sizes >= LEAST_WORDS)
+            row, fp, n = prefixes(flat[np.repeat(fresh, sizes)], sizes[fresh], common.value, least, shingle)
             ids = ids[fresh]
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[row]), pa.array(pos.astype(np.int32))], ["fp", "class_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[row]), pa.array(n.astype(np.int32))], ["fp", "class_id", "n"])
+
+    return rows.select("text").mapInArrow(run, "fp bigint, class_id bigint, n int")
+
 
-    return rows.select("text").mapInArrow(run, "fp bigint, class_id bigint, pos int")
+def shared_starts(left: list[str], right: list[str], k: int) -> list[tuple[int, int]]:
+    """Where each run of k words of ``right`` stands in ``left``."""
+    at: dict[tuple[str, ...], list[int]] = {}
+    for i in range(len(left) - k + 1):
+        at.setdefault(tuple(left[i : i + k]), []).append(i)
+    return [(i, j) for j in range(len(right) - k + 1) for i in at.get(tuple(right[j : j + k]), ())]
 
 
 def aligned(left: list[str], right: list[str], starts: list[tuple[int, int]]) -> int:
     """Words of ``right`` covered by a chain of collinear seeds, each extended both ways while the words agree."""
     blocks = []
+    end: dict[int, int] = {}  # of the last block of each diagonal
     for i, j in sorted(set(starts)):
-        if any(a <= i < a + n and i - a == j - b for a, b, n in blocks):
+        if i < end.get(i - j, 0):
             continue
         a, b = i, j
         while a and b and left[a - 1] == right[b - 1]:
@@ -104,6 +101,7 @@ def aligned(left: list[str], right: list[str], starts: list[tuple[int, int]]) ->
         while a + n < len(left) and b + n < len(right) and left[a + n] == right[b + n]:
             n += 1
         blocks.append((a, b, n))
+        end[i - j] = a + n
     best: list[int] = []
     for x, (a, b, n) in enumerate(blocks):  # the heaviest chain that rises in both texts
         best.append(n + max((best[y] for y in range(x) if blocks[y][0] + blocks[y][2] <= a and blocks[y][1] + blocks[y][2] <= b), default=0))
@@ -113,34 +111,36 @@ def aligned(left: list[str], right: list[str], starts: list[tuple[int, int]]) ->
 def class_overlaps(rows: DataFrame, least: float = 0.5, shingle: int = 3) -> DataFrame:
     """(train_class, held_class, overlap, covered): pairs of distinct texts across the splits.
 
-    Fingerprints selected in training texts meet all runs of held-out texts; the seeds of a pair are chained where they are
-    collinear and extended by alignment (``covered`` = share of the held-out text's words), and the exact overlap of
-    the word-run sets decides.
+    Pairs whose prefixes share enough runs, and whose sets are of sizes that allow the overlap, are compared exactly. The
+    shared runs of a pair found are chained where they are collinear and extended by alignment (``covered`` = share of
+    the held-out text's words).
     """
-    both = lambda flat, sizes: np.concatenate([_runs(flat, sizes, k, None)[0] for k in (K_LONG, K_SHORT)])
-    common = rows.sparkSession.sparkContext.broadcast(heavy_kgrams(rows, "text", both, COMMON))
-    train = postings(rows.filter("side = 'train'"), False, common).select("fp", F.col("class_id").alias("a"), F.col("pos").alias("i"))
-    held = postings(rows.filter("side <> 'train'"), True, common).select("fp", F.col("class_id").alias("b"), F.col("pos").alias("j"))
-    met = train.join(held, "fp").groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("seeds"))
+    runs = lambda flat, sizes: kgrams(flat, sizes, shingle)[0]
+    common = rows.sparkSession.sparkContext.broadcast(heavy_kgrams(rows, "text", runs, COMMON))
+    train = postings(rows.filter("side = 'train'"), common, least, shingle).select("fp", F.col("class_id").alias("a"), F.col("n").alias("na"))
+    held = postings(rows.filter("side <> 'train'"), common, least, shingle).select("fp", F.col("class_id").alias("b"), F.col("n").alias("nb"))
+    smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
+    met = train.join(held, "fp").filter(smaller >= least * larger - 1e-9).groupBy("a", "b", smaller.alias("n")).agg(F.count("*").alias("shared"))
+    met = met.filter(F.col("shared") >= F.least(F.lit(MEET), F.ceil(least * F.col("n") - 1e-9))).select("a", "b")
     pairs = stage(met, "overlap-pairs").df
     ta = class_texts(rows.filter("side = 'train'"), "text").select(F.col("class_id").alias("a"), F.col("text").alias("ta"))
     tb = class_texts(rows.filter("side <> 'train'"), "text").select(F.col("class_id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            left, right = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             share = exact_overlap(left, right, shingle)
             ok = np.flatnonzero(share >= least - 1e-12)
             covered = []
-            for x, starts in zip(ok, batch.column(2).take(pa.array(ok)).to_pylist()):
-                right_words = words(right[x])
-                covered.append(aligned(words(left[x]), right_words, [(s["i"], s["j"]) for s in starts]) / len(right_words))
+            for x in ok:
+                left_words, right_words = words(left[x]), words(right[x])
+                covered.append(aligned(left_words, right_words, shared_starts(left_words, right_words, shingle)) / len(right_words))
             at = pa.array(ok)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(share[ok]), pa.array(covered, pa.float64())], ["train_class", "held_class", "overlap", "covered"]
             )
 
-    full = pairs.join(tb, "b").join(ta, "a").select("a", "b", "seeds", "ta", "tb")
+    full = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
     return full.mapInArrow(run, "train_class bigint, held_class bigint, overlap double, covered double")
 
 
