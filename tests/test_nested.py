@@ -45,3 +45,21 @@ def test_deep_and_empty(spark):
         deep = {"layers": [{"metadata": deep}]}
     assert len(paths(spark, [(1, deep)])) == 150
     assert paths(spark, []) == set()
+
+
+def test_every_object_and_scalar_comes_out(spark):
+    body = {"id": 7, "report": {"x": True}, "findings": [{"m": "a", "metadata": {"n": 1.5, "tags": ["t", None, []], "hits": [{"p": 1}]}}]}
+    found = nested.occurrences(reports(spark, [(1, body)]))
+    links = {(r.parent_path, r.path, r.ordinal): (r.parent_object, r.object_id) for r in nested.full_bridge(found).collect()}
+    assert set(links) == {
+        (None, "report", 0), ("report", "report", None), ("report", "findings[0]", 0), ("findings[0]", "findings[0].metadata", None),
+        ("findings[0].metadata", "findings[0].metadata.hits[0]", 0),
+    }
+    known = {r.object_id for r in nested.full_objects(found).collect()}
+    assert known == {oid for _, oid in links.values()} and {p for p, _ in links.values()} - {None} <= known
+    own = {path: oid for (p, path, n), (_, oid) in links.items() if n is not None or path != "report"}
+    assert {(r.object_id, r.field, r.value, r.kind) for r in nested.scalars(found).collect()} == {
+        (own["report"], "id", "7", "number"), (links["report", "report", None][1], "x", "true", "boolean"), (own["findings[0]"], "m", "a", "string"),
+        (own["findings[0].metadata"], "n", "1.5", "number"), (own["findings[0].metadata"], "tags[0]", "t", "string"), (own["findings[0].metadata"], "tags[1]", None, "null"),
+        (own["findings[0].metadata"], "tags[2]", "[]", "array"), (own["findings[0].metadata.hits[0]"], "p", "1", "number"),
+    }

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 #: Field names that hold containers are schema, not data; beyond this many the operator refuses to go on.
 MOST_FIELDS = 50_000
-OCCURRENCES = "report_id bigint, parent_path string, path string, ordinal int, parent_object string, object_id string, body string"
+OCCURRENCES = "report_id bigint, parent_path string, path string, ordinal int, parent_object string, holder_path string, holder_object string, object_id string, body string"
+SCALARS = "object_id string, field string, value string, kind string"
 
 
 def _read(text: str | None) -> dict | None:
@@ -76,18 +77,18 @@ class _Walker:
     def report(self, report_id: int, record: dict) -> list[tuple]:
         self.rows: list[tuple] = []
         own, body = self._object(record, "", "report")
-        self.rows.append((report_id, None, "report", 0, None, own, body))
-        found, self.rows = self.rows, []
-        ids = {r[2]: r[5] for r in found}
-        return [(report_id, p, path, n, ids.get(p), oid, body) for _, p, path, n, _, oid, body in found]
+        held = {at: oid for _, at, _, _, oid, _ in self.rows} | {"": own}
+        elements = {at: oid for _, at, n, _, oid, _ in self.rows if n is not None} | {"report": own}
+        out = [(report_id, p, at, n, elements[p], h or "report", held[h], oid, body) for p, at, n, h, oid, body in self.rows]
+        return [*out, (report_id, None, "report", 0, None, None, None, own, body)]
 
     def _object(self, value: dict, at: str, parent: str) -> tuple[str, str]:
-        """(id, canonical body). The body names array elements that are objects by their ids."""
-        shown = {k: self._value(k, v, f"{at}.{k}" if at else k, parent) for k, v in value.items()}
+        """(id, canonical body). The body names the objects it holds by their ids."""
+        shown = {k: self._value(k, v, f"{at}.{k}" if at else k, parent, at) for k, v in value.items()}
         body = json.dumps(shown, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
         return hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), body
 
-    def _value(self, field: str, value, at: str, parent: str):
+    def _value(self, field: str, value, at: str, parent: str, holder: str):
         kind = self.fields.get(field)
         if isinstance(value, str) and kind:
             inner = _decoded(value)
@@ -95,21 +96,23 @@ class _Walker:
         if isinstance(value, dict) and kind == "array":
             value = [value]
         if isinstance(value, dict):
-            return {k: self._value(k, v, f"{at}.{k}", parent) for k, v in value.items()}
+            oid, body = self._object(value, at, parent)
+            self.rows.append((parent, at, None, holder, oid, body))
+            return {"$object": oid}
         if isinstance(value, list):
-            return self._array(value, at, parent)
+            return self._array(value, at, parent, holder)
         return value
 
-    def _array(self, values: list, at: str, parent: str) -> list:
+    def _array(self, values: list, at: str, parent: str, holder: str) -> list:
         shown = []
         for i, v in enumerate(values):
             path = f"{at}[{i}]"
             if isinstance(v, dict):
                 oid, body = self._object(v, path, path)
-                self.rows.append((0, parent, path, i, None, oid, body))
+                self.rows.append((parent, path, i, holder, oid, body))
                 shown.append({"$object": oid})
             else:
-                shown.append(self._array(v, path, parent) if isinstance(v, list) else v)
+                shown.append(self._array(v, path, parent, holder) if isinstance(v, list) else v)
         return shown
 
 
@@ -119,7 +122,8 @@ def occurrences(reports: DataFrame) -> DataFrame:
     ``reports`` has report_id and body (JSON text). Bodies that are null, cut off or not objects give no rows.
     Nulls in arrays keep their position; a lone object in a field that mostly holds arrays is element 0; a string
     of JSON counts as its value only in fields that elsewhere hold an object or an array. The report itself is the
-    row with path ``report`` and no parent. Repeated deliveries repeat their rows here; see ``bridge``.
+    row with path ``report`` and no parent; an object that is no array element has no ordinal. The parent is the nearest
+    enclosing array element or the report, the holder the nearest enclosing object of any kind. Repeated deliveries repeat their rows here; see ``bridge``.
     """
     fields = container_fields(reports)
 
@@ -140,14 +144,48 @@ def occurrences(reports: DataFrame) -> DataFrame:
 
 
 def bridge(found: DataFrame) -> DataFrame:
-    """One row per (report, path): parent-child links with ordinals; deliveries that repeat a path count once."""
-    return found.filter("parent_path IS NOT NULL").groupBy("report_id", "path").agg(
+    """One row per (report, path) of array elements: parent-child links with ordinals; deliveries that repeat a path count once."""
+    return found.filter("parent_path IS NOT NULL AND ordinal IS NOT NULL").groupBy("report_id", "path").agg(
         *[F.first(F.struct("parent_path", "ordinal", "parent_object", "object_id")).alias("x")]
     ).select("report_id", "x.parent_path", "path", "x.ordinal", "x.parent_object", "x.object_id")
 
 
+def full_bridge(found: DataFrame) -> DataFrame:
+    """Every object with the object that holds it, reports (no parent) and plain nested objects (no ordinal) too.
+
+    Deliveries of one report that differ at a path give a row each, so that every parent_object is an object_id.
+    """
+    return found.select("report_id", F.col("holder_path").alias("parent_path"), "path", "ordinal", F.col("holder_object").alias("parent_object"), "object_id").distinct()
+
+
 def objects(found: DataFrame) -> DataFrame:
-    """Identical objects once: id, canonical body, how often and in how many reports they occur."""
-    return found.filter("parent_path IS NOT NULL").groupBy("object_id").agg(
-        F.first("body").alias("body"), F.count("*").alias("n_occurrences"), F.countDistinct("report_id").alias("n_reports")
-    )
+    """Identical array elements once: id, canonical body, how often and in how many reports they occur."""
+    return full_objects(found.filter("parent_path IS NOT NULL AND ordinal IS NOT NULL"))
+
+
+def full_objects(found: DataFrame) -> DataFrame:
+    """Identical objects once, reports and plain nested objects too."""
+    return found.groupBy("object_id").agg(F.first("body").alias("body"), F.count("*").alias("n_occurrences"), F.countDistinct("report_id").alias("n_reports"))
+
+
+def _scalars(field: str, value) -> Iterator[tuple[str, str | None, str]]:
+    if isinstance(value, list) and value:
+        for i, v in enumerate(value):
+            yield from _scalars(f"{field}[{i}]", v)
+    elif value is None:
+        yield field, None, "null"
+    elif isinstance(value, str):
+        yield field, value, "string"
+    elif not isinstance(value, dict):  # an object is named by its id and has rows of its own
+        yield field, json.dumps(value), "array" if isinstance(value, list) else "boolean" if isinstance(value, bool) else "number"
+
+
+def scalars(found: DataFrame) -> DataFrame:
+    """(object_id, field, value, kind) of every scalar of every object; in arrays the field has its position, an empty array is ``[]``."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(oid, *r) for oid, body in zip(pdf["object_id"], pdf["body"]) for k, v in json.loads(body).items() for r in _scalars(k, v)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCALARS.split(", ")])
+
+    return found.groupBy("object_id").agg(F.first("body").alias("body")).mapInPandas(split, SCALARS)

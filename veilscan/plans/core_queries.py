@@ -27,11 +27,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return nested.bridge(_occurrences(spark, d))
+    return nested.full_bridge(_occurrences(spark, d))
 
 
 def p2_objects(spark: SparkSession, d: str) -> DataFrame:
-    return nested.objects(_occurrences(spark, d))
+    return nested.full_objects(_occurrences(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_table": p1_table, "p2_found": p2_found, "p2_bridge": p2_bridge, "p2_objects": p2_objects}
+def p2_scalars(spark: SparkSession, d: str) -> DataFrame:
+    return nested.scalars(_occurrences(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_table": p1_table, "p2_found": p2_found, "p2_bridge": p2_bridge, "p2_objects": p2_objects, "p2_scalars": p2_scalars}
