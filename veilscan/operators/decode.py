@@ -37,9 +37,22 @@ def decoded_layers(items: DataFrame) -> DataFrame:
     return rows.select("kind", "id", "x.method", "x.decoded")
 
 
+#: What is decoded again, and how many rounds there are in all.
+CODECS, ROUNDS = ("base64", "hex", "percent"), 3
+
+
+def decoded_rounds(items: DataFrame) -> DataFrame:
+    """``decoded_layers``, and what its base64, hex and percent layers hold in turn; the method is that of the last round."""
+    out = layers = decoded_layers(items)
+    for _ in range(ROUNDS - 1):
+        layers = decoded_layers(layers.filter(F.col("method").isin(*CODECS)).select("kind", "id", F.col("decoded").alias("text")))
+        out = out.union(layers)
+    return out
+
+
 def encoded_injection(items: DataFrame) -> DataFrame:
-    """(kind, id, method, category) of decoded layers that hold injected instructions."""
-    rows = decoded_layers(items).select("kind", "id", "method", F.explode(F.array_compact(F.array(*[F.when(F.col("decoded").rlike(p), c) for c, p in C.RULES]))).alias("category"))
+    """(kind, id, method, category) of decoded layers, nested ones too, that hold injected instructions."""
+    rows = decoded_rounds(items).select("kind", "id", "method", F.explode(F.array_compact(F.array(*[F.when(F.col("decoded").rlike(p), c) for c, p in C.RULES]))).alias("category"))
     return rows.filter(~F.col("method").isin("rot13", "reversed") | F.col("category").isin(*C.CRITICAL)).distinct()
 
 

@@ -143,3 +143,13 @@ def heuristic_features(items: DataFrame) -> DataFrame:
         F.when(F.col("text").rlike(r'(?i)"(?:tool_call|function_call|tool_use|action|execute|command|cmd|shell|eval|run_sql)"'), 1.0).otherwise(0.0).alias("tool_call"),
         F.when(F.col("text").rlike(r"(?:FRAGMENT|CONTEXT_|PART_|SECTION_|CHUNK_)\d*"), 1.0).otherwise(0.0).alias("fragment_marker"),
     )
+
+
+def rule_variants(items: DataFrame) -> DataFrame:
+    """(kind, id, variant, category): every injection rule on the text as it is, without look-alikes, without leet and reversed."""
+    plain = F.translate("text", C.LOOKALIKE_FROM + C.FULLWIDTH_FROM, C.LOOKALIKE_TO + C.FULLWIDTH_TO)
+    forms = {"as_is": F.col("text"), "look_alikes": plain, "leet": F.translate(plain, C.LEET_FROM, C.LEET_TO), "reversed": F.reverse("text")}
+    one = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), t.alias("form")) for n, t in forms.items()])).alias("x")
+    rows = items.filter("text IS NOT NULL").select("kind", "id", one).select("kind", "id", "x.variant", "x.form")
+    hits = F.array_compact(F.array(*[F.when(F.col("form").rlike(p), c) for c, p in C.RULES]))
+    return rows.select("kind", "id", "variant", F.explode(hits).alias("category")).distinct()

@@ -101,6 +101,14 @@ def _variants(s: SparkSession, d: str) -> DataFrame:
 
 _add("injection_variants", _variants, f"{ITEMS_SQL} SELECT * FROM (SELECT kind, id, regexp_matches(text, {quoted(_over)}) AS as_is, regexp_matches(translate(text, {quoted(C.LOOKALIKE_FROM + C.FULLWIDTH_FROM)}, {quoted(C.LOOKALIKE_TO + C.FULLWIDTH_TO)}), {quoted(_over)}) AS look_alikes, regexp_matches({_leet}, {quoted(_over)}) AS leet, regexp_matches(reverse(text), {quoted(_over)}) AS reversed FROM items WHERE text IS NOT NULL) WHERE as_is OR look_alikes OR leet OR reversed")
 
+
+def _rule_variants(s: SparkSession, d: str) -> DataFrame:
+    """Every rule on every light variant: one row per text, variant and category."""
+    return scan.rule_variants(items(s, d))
+
+
+_add("injection_rule_variants", _rule_variants)
+
 _pol = ", ".join(f"{n_sql(p)} AS {n}" for n, p in (("n_words", r"\S+"), ("superlatives", C.SUPERLATIVE), ("hedges", C.HEDGE), ("positive", C.POSITIVE), ("negative", C.NEGATIVE)))
 _add("polarization_score", lambda s, d: scan.polarization(items(s, d)), f"{ITEMS_SQL} SELECT kind, id, n_words, superlatives, hedges, {scan.POLARIZATION_SQL} AS score FROM (SELECT kind, id, {_pol} FROM items WHERE text IS NOT NULL) WHERE n_words >= 30")
 _fr = ", ".join(f"{any_sql(ps)} AS {n}" for n, ps in C.FRAMING.items())
