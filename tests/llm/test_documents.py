@@ -129,3 +129,10 @@ def test_ranks_are_exact(spark):
         all_n = [n[i] for i, _, g in docs if g == lang]
         for v in set(all_n):
             assert ranks[lang, float(v)] == pytest.approx((sum(x <= v for x in all_n) / len(all_n), sum(x >= v for x in all_n) / len(all_n)))
+
+
+def test_a_triple_of_short_lengths_is_found():
+    counts = np.zeros(2049, np.int64)
+    counts[np.setdiff1d(np.arange(400, 1001, 2), [698])] = 1  # even, so that no two or three of them fill an odd gap
+    counts[1001], counts[349] = 1, 3
+    assert ((1001, 349, 349, 349), 1) in packing.plan_patterns(counts, 2048)

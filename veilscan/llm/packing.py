@@ -90,8 +90,8 @@ def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ..
             left[s] -= 1
             two = _pair_for(left, gap)
             three = None
-            if two is None:
-                for c in np.flatnonzero(left[: gap - 1])[::-1][:256].tolist():
+            if two is None:  # the longest of three is at least a third of the gap
+                for c in (np.flatnonzero(left[-(-gap // 3) : gap - 1]) + -(-gap // 3))[::-1].tolist():
                     left[c] -= 1
                     two = _pair_for(left, gap - c)
                     left[c] += 1
