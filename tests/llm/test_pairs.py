@@ -244,3 +244,9 @@ def test_overlaps_without_long_common_runs(spark):
     got = overlaps.cross_split_overlaps(spark.createDataFrame(data, "sample_id bigint, text string, split string, source string")).collect()
     assert {(r.train_id, r.held_id) for r in got} == want and len(want) >= 7
     assert all(0 < r.covered <= 1 for r in got)
+
+
+def test_all_ties_of_a_redelivered_sample_count(spark):
+    rows = [(0, 1, "t", f"s{i}", None) for i in range(100)] + [(i + 1, 1, "t", f"s{i}", None) for i in range(100)]
+    df = spark.createDataFrame(rows, "sample_id bigint, label int, category string, source string, author string")
+    assert {(r.sample_id, r.group_id) for r in splits.tied_samples(df).collect()} == {(i, 0) for i in range(101)}

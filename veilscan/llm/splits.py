@@ -48,7 +48,7 @@ def tied_groups(samples: DataFrame) -> tuple[Stage, DataFrame]:
     shuffle.
     """
     one = record_entities(samples)
-    records = stage(one.select("sample_id", "label", F.try_element_at("e", F.lit(1)).alias("node"), F.expr("slice(e, 2, 64)").alias("rest")), "split-records")
+    records = stage(one.select("sample_id", "label", F.try_element_at("e", F.lit(1)).alias("node"), F.expr("slice(e, 2, greatest(size(e), 1))").alias("rest")), "split-records")
     edges = records.df.filter("size(rest) > 0").select("node", F.explode("rest").alias("other")).distinct()
     labels = connected_components(edges, "node", "other", "split-components").df.withColumnRenamed("label", "root")
     nodes = records.df.filter("node IS NOT NULL").groupBy("node").agg(F.min("sample_id").alias("least_id"), F.count("*").alias("n"))
