@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,15 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="veilscan-")
+        atexit.register(shutil.rmtree, _LOCAL_DIR, ignore_errors=True)
     return _LOCAL_DIR
 
 
 class Stage:
     """An intermediate result written as Parquet to the shared folder.
 
-    Cuts lineage in a way that survives the loss of executors, and compresses better than a row checkpoint.
+    Cuts lineage in a way that survives the loss of executors, and compresses better than a row checkpoint. What still stands
+    when the session ends is named by ``kept`` and removed by ``drop_stages``.
     """
 
+    kept: set[str] = set()
+
     def __init__(self, spark: SparkSession, path: str, df: DataFrame):
         self.spark, self.path, self.df = spark, path, df
 
@@ -48,11 +54,28 @@ class Stage:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        Stage.kept.discard(self.path)
+
+
+#: With it, the shuffle files of a write are removed when the write is over, and not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stage(df: DataFrame, name: str) -> Stage:
-    """Write ``df`` once and read it back with its schema known (no inference pass)."""
+    """Write ``df`` once and read it back with its schema known (no inference pass); its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilscan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    Stage.kept.add(path)
     return Stage(spark, path, spark.read.schema(df.schema).parquet(path))
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove every intermediate table that this process still keeps; results that are not yet written lose their source."""
+    for path in list(Stage.kept):
+        Stage(spark, path, None).drop()
