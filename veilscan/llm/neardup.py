@@ -4,9 +4,13 @@ A fingerprint is a tuple of TUPLE minima of the record's set of three consecutiv
 distance of two fingerprints is the number of elements in one but not in both (a replaced element counts 2), the
 radius is 2. Every fingerprint emits all variants within half the radius, that is with one element dropped
 (the variant with nothing dropped adds nothing: who shares it shares the others). Two fingerprints within the radius
-meet in at least one variant, in three if they are equal. Colliding pairs are deduplicated; those that share MEET
-variants are verified exactly, the others share so little that an overlap of a half is out of the question but for a
-chance: fewer than MEET variants in all tables have a probability of 0.0115 at J = 0.50, 0.0026 at J = 0.55, 0.0001 at J = 0.65.
+therefore always meet in a variant: dropping the element in which they differ leaves the same tuple; equal ones meet in three.
+Colliding pairs are deduplicated, and those that share MEET variants are verified exactly.
+
+Common runs take part in every other minimum only, drawn by the run and the place, alike in all records; a variant of
+common runs alone is left out, but for records that consist of common runs by half or more. With an overlap of 0.50 and no
+common run the chance to share fewer than MEET variants is 0.0007; where 0.4 of each record are common runs that all are
+shared, it is 0.04, and falls with the overlap.
 """
 
 from __future__ import annotations
@@ -18,57 +22,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.kernels import BlockCounter, U, fresh_rows, heavy_of, in_sorted, kgrams, mix, slices, text_class, word_hashes
-from veilscan.llm.pairs import EXPAND, LEAST_WORDS, verified
+from veilscan.llm.kernels import U, fresh_rows, heavy_of, in_sorted, kgrams, mix, slices, text_class, word_hashes
+from veilscan.llm.pairs import EXPAND, LEAST_WORDS, read_once, verified
 from veilscan.operators.components import connected_components
-from veilscan.session import stage
+from veilscan.session import Stage, stage
 
-TABLES, TUPLE, SHINGLE = 12, 3, 3
+TABLES, TUPLE, SHINGLE = 14, 3, 3
 #: Word runs that stand this often per record are common.
 COMMON = 0.002
-MEET = 3
-#: Buckets of up to this many texts are paired at once; fuller ones block against block, BLOCK texts each.
+MEET = 2
+#: Buckets of up to this many texts are paired at once; fuller ones as told at ``_rest_pairs``, in blocks of BLOCK texts.
 FULL, BLOCK = 32, 1000
 #: The low bits of a variant say which one of a text's variants it is.
 PLACES = 128
 
-
 #: Odd multipliers: each is a permutation of the (already mixed) 64-bit hashes, and its minimum a sample of the set.
 _FACTORS = mix(np.arange(1, TABLES * TUPLE + 1, dtype=U)) | U(1)
+_LAST = U(np.iinfo(np.uint64).max - 1)
 
 
-def _ball(h: np.ndarray, row: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, variant): one element dropped from each fingerprint of each row's set."""
+def variants(flat: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, variant) of the balls of half the radius around each text's fingerprints.
+
+    A minimum's lowest bit says whether its run is rare. Half of a common run's values are put last, the others are doubled:
+    it weighs half a rare one.
+    """
+    h, row, _ = kgrams(flat, sizes, SHINGLE)
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hot = np.flatnonzero(in_sorted(h, common))
+    mostly = 2 * np.bincount(row[hot], minlength=len(sizes)) >= np.bincount(row, minlength=len(sizes))
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    rows, out = row[first], []
+    rows, out, of = row[first], [], []
     for t in range(TABLES):
-        least = [np.minimum.reduceat(h * _FACTORS[t * TUPLE + j], first) for j in range(TUPLE)]
+        least = []
+        for j in range(TUPLE):
+            v = (h * _FACTORS[t * TUPLE + j]) | U(1)
+            common_v = v[hot]
+            v[hot] = np.where(common_v >> U(63), _LAST, common_v << U(1)) & ~U(1)
+            least.append(np.minimum.reduceat(v, first))
         for drop in range(TUPLE):
-            v = np.full(len(first), 1 + t * TUPLE + drop + 1000 * space, U)
+            place = t * TUPLE + drop
+            v, rare = np.full(len(first), 1 + place, U), np.zeros(len(first), bool)
             for j in range(TUPLE):
                 if j != drop:
                     v = mix(v * U(0x9E3779B97F4A7C15) + least[j])
-            place = t * TUPLE + drop + TABLES * TUPLE * space
-            out.append(((v & ~U(PLACES - 1)) | U(place)).view(np.int64))
-    return np.tile(rows, len(out)), np.concatenate(out)
-
-
-def variants(flat: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, variant) of the balls of half the radius around each text's fingerprints.
-
-    A text without common runs has fingerprints over all its runs (space 0); one with common runs has them over its rarer runs
-    (space 0) and over all its runs (space 1). Two texts with common runs meet in space 1 by their true overlap, two
-    without in space 0; of a mixed pair all that is shared is rare, so that in space 0 they overlap no less than in truth.
-    """
-    h, row, _ = kgrams(flat, sizes, SHINGLE)
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hot = in_sorted(h, common)
-    some = np.bincount(row, hot) > 0
-    parts = [_ball(h[~hot], row[~hot], 0), _ball(h[some[row]], row[some[row]], 1)]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    rare |= (least[j] & U(1)) == 1
+            take = rare | mostly[rows]
+            out.append(((v[take] & ~U(PLACES - 1)) | U(place)).view(np.int64))
+            of.append(rows[take])
+    return np.concatenate(of), np.concatenate(out)
 
 
 def _postings(rows: DataFrame, common: np.ndarray) -> DataFrame:
@@ -87,7 +90,7 @@ def _postings(rows: DataFrame, common: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "variant bigint, class_id bigint")
 
 
-def _buckets(postings: DataFrame, full: int, name: str):
+def _buckets(postings: DataFrame, full: int, name: str) -> Stage:
     """Pairs (variant 0) of each bucket of up to ``full`` texts; members of fuller ones come back with their variant (a = b).
 
     A sorted partition is read once, front to back, and at most full members are held, whatever a bucket's size.
@@ -131,7 +134,7 @@ def _buckets(postings: DataFrame, full: int, name: str):
         close()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.int64())], ["a", "b", "variant"])
 
-    return stage(ordered.mapInArrow(run, "a bigint, b bigint, variant bigint"), name).df
+    return stage(ordered.mapInArrow(run, "a bigint, b bigint, variant bigint"), name)
 
 
 def _mixed_pairs(over: DataFrame, met: DataFrame) -> DataFrame:
@@ -141,109 +144,103 @@ def _mixed_pairs(over: DataFrame, met: DataFrame) -> DataFrame:
     return both.filter(F.col("n") + F.size(F.array_intersect("va", "vb")) >= MEET).select("a", "b")
 
 
-def _full_pairs(over: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share MEET fuller buckets or more, each from the first of them: every bucket is paired whole.
+def _star_pairs(over: DataFrame) -> DataFrame:
+    """Each member of a fuller bucket with the bucket's least one."""
+    least = over.groupBy("variant").agg(F.min("class_id").alias("a"))
+    return over.join(least, "variant").select("a", F.col("class_id").alias("b"))
+
 
-    A bucket's texts are dealt into blocks, and each block meets each: what a task holds is two blocks, and a
-    bucket's work spreads over tasks.
+def _rest_pairs(over: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of fuller buckets that share MEET of them and are not in one group yet.
+
+    Most members of a fuller bucket hang together by then, and need not meet each other. The rest, dealt into blocks, meet every
+    member of their bucket, block by block: a task holds two blocks, and no member is left out, whatever the size.
     """
     held = over.groupBy("class_id").agg(F.collect_set("variant").alias("vs")).filter(F.size("vs") >= MEET)
-    blocks = over.groupBy("variant").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
-    rows = held.select("class_id", "vs", F.explode("vs").alias("variant")).join(blocks, "variant").withColumn("own", F.expr("pmod(xxhash64(class_id), k)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, k - 1)"))).select(
-        "variant", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "class_id", "vs"
-    )
+    known = held.join(labels.select(F.col("node").alias("class_id"), "label"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
+    rows = stage(known.select("class_id", "label", "vs", F.explode("vs").alias("variant")), "neardup-over").df
+    sizes = rows.groupBy("variant", "label").agg(F.count("*").alias("n")).groupBy("variant").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    sizes = sizes.filter("n > n_main").select("variant", "main", F.ceil((F.col("n") - F.col("n_main")) / BLOCK).alias("kr"), F.ceil(F.col("n") / BLOCK).alias("kq"))
+    rows = rows.join(sizes, "variant")
+    place = lambda k, seed: F.expr(f"pmod(xxhash64(class_id, {seed}), {k})")
+    every = lambda k: F.explode(F.expr(f"sequence(0L, {k} - 1)"))
+    cols = ["variant", "class_id", "label", "vs"]
+    rest = rows.filter("label <> main").withColumn("r", place("kr", 1)).select(*cols, F.lit(True).alias("rest"), "r", every("kq").alias("q"))
+    each = rows.withColumn("q", place("kq", 2)).select(*cols, F.lit(False).alias("rest"), every("kr").alias("r"), "q")
 
     def meet(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        variant, lo, hi = (group.column(c)[0].as_py() for c in ("variant", "lo", "hi"))
+        variant = group.column("variant")[0].as_py()
         vs = group.column("vs").combine_chunks()
         values = vs.flatten().to_numpy(zero_copy_only=False)
         member = np.repeat(np.arange(len(group)), np.diff(vs.offsets.to_numpy()))
         at = np.zeros((PLACES, len(group)), np.int64)
         at[values & (PLACES - 1), member] = values
-        own, ids = group.column("own").to_numpy(), group.column("class_id").to_numpy()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        ours = group.column("rest").to_numpy(zero_copy_only=False)
+        ids, label = group.column("class_id").to_numpy(), group.column("label").to_numpy()
+        left, right = np.flatnonzero(ours), np.flatnonzero(~ours)
         n = np.zeros((len(left), len(right)), np.int16)
         before = np.zeros(n.shape, bool)
-        for place in np.flatnonzero(at.any(1)).tolist():
-            x, y = at[place, left], at[place, right]
+        for p in np.flatnonzero(at.any(1)).tolist():
+            x, y = at[p, left], at[p, right]
             same = (x[:, None] == y[None, :]) & (x != 0)[:, None]
             n += same
-            if place < variant & (PLACES - 1):
-                before |= same
-        take = (n >= MEET) & ~before
-        if lo == hi:
-            take = np.triu(take, 1)
-        i, j = np.nonzero(take)
+            if p < variant & (PLACES - 1):
+                before |= same  # the pair is found in an earlier bucket
+        i, j = np.nonzero((n >= MEET) & ~before & (label[left][:, None] != label[right][None, :]))
         a, b = ids[left[i]], ids[right[j]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return rows.groupBy("variant", "lo", "hi").applyInArrow(meet, "a bigint, b bigint")
-
-
-READ = "coll int, id bigint, class_id bigint, text string, h bigint, n bigint, texts bigint"
-
-
-def _read_once(records: DataFrame) -> DataFrame:
-    """One pass over (coll, id, text): each record of ten words or more with its class, and block counts of word runs (h not null)."""
-    names = [c.split()[0] for c in READ.split(", ")]
+    return rest.unionByName(each).groupBy("variant", "r", "q").applyInArrow(meet, "a bigint, b bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = BlockCounter(COMMON)
-
-        def full(**cols) -> pa.RecordBatch:
-            n = len(next(iter(cols.values())))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, t) for c, t in zip(names, kinds)], names)
 
-        def counted(reports: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for r in reports:
-                yield full(h=r.column(0), n=r.column(1), texts=r.column(2))
-
-        for batch in slices(batches):
-            flat, sizes = word_hashes(batch.column(2).to_pylist())
-            ids = text_class(flat, sizes) ^ (batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) << 56)
-            yield full(coll=batch.column(0), id=batch.column(1), class_id=pa.array(ids), text=batch.column(2)).filter(pa.array(sizes >= LEAST_WORDS))
-            yield from counted(counter.add(kgrams(flat, sizes, SHINGLE)[0], batch.num_rows))
-        yield from counted(counter.close())
+def near_links(read: DataFrame, least: float = 0.5) -> Stage:
+    """(a, b, overlap): links of classes of equal texts whose overlap is ``least`` or more, enough to tie each group together.
 
-    rows = records.select(F.col("coll").cast("int").alias("coll"), F.col("id").cast("bigint").alias("id"), "text")
-    return stage(rows.mapInArrow(run, READ), "neardup-read").df
-
-
-def near_links(read: DataFrame, least: float = 0.5) -> DataFrame:
-    """(a, b, overlap) of classes of equal texts whose overlap is ``least`` or more, from ``_read_once`` rows."""
+    Buckets of up to FULL texts give all their links; of fuller buckets each member is compared with the least one, and then
+    every pair that is not in one group yet.
+    """
     common = heavy_of(read.filter("h IS NOT NULL").select("h", "n", "texts"), COMMON)
     records = read.filter("h IS NULL")
-    found = _buckets(_postings(records.select("text", "coll"), common), FULL, "neardup-buckets")
-    over = found.filter("variant <> 0").select("variant", F.col("a").alias("class_id")).distinct()
-    met = found.filter("variant = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    texts = records.groupBy("class_id").agg(F.min("text").alias("text"))
+    buckets = _buckets(_postings(records.select("text", "coll"), common), FULL, "neardup-buckets")
+    over = buckets.df.filter("variant <> 0").select("variant", F.col("a").alias("class_id")).distinct()
+    met = buckets.df.filter("variant = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
     found = met.filter(F.col("n") >= MEET).select("a", "b")
-    if not over.isEmpty():
-        over = stage(over, "neardup-full").df
-        found = found.union(_full_pairs(over)).union(_mixed_pairs(over, met.filter(F.col("n") < MEET)))
-    pairs = stage(found.select("a", "b").filter("a <> b").distinct(), "neardup-pairs").df
-    return verified(pairs, records.groupBy("class_id").agg(F.first("text").alias("text")), least, SHINGLE)
+    fuller = not over.isEmpty()
+    if fuller:
+        over = stage(over, "neardup-full")
+        found = found.union(_star_pairs(over.df)).union(_mixed_pairs(over.df, met.filter(F.col("n") < MEET)))
+    pairs = stage(found.filter("a <> b").distinct(), "neardup-pairs")
+    buckets.drop()
+    links = stage(verified(pairs.df, texts, least, SHINGLE), "neardup-links")
+    pairs.drop()
+    if not fuller:
+        return links
+    labels = connected_components(links.df, "a", "b", "neardup-first")
+    rest = stage(_rest_pairs(over.df, labels.df).distinct(), "neardup-rest")
+    more = stage(links.df.union(verified(rest.df, texts, least, SHINGLE)), "neardup-all-links")
+    for done in (over, labels, rest, links):
+        done.drop()
+    return more
 
 
 def near_groups(records: DataFrame, least: float = 0.5) -> DataFrame:
-    """One row per record: (coll, id, class_id, group_key, n_links) with a group's key equal for all its records.
+    """One row per record: (coll, id, class_id, group_key) with a group's key equal for all its records.
 
     ``records`` has coll, id and text. Records of one collection are linked when their sets of three consecutive
     words overlap by ``least`` or more, and grouped directly or through others. A null id, a null or empty text and texts under ten
     words are left out; repeated rows count once; texts of equal words share a class and, with it, a group.
     Empty tables give no rows.
     """
-    known = records.filter("id IS NOT NULL AND text IS NOT NULL").select("coll", "id", "text")
-    read = _read_once(known)
-    links = stage(near_links(read, least), "neardup-links").df
-    labels = connected_components(links, "a", "b", "neardup-components").df
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known_nodes = labels.join(degree, "node", "left").withColumnRenamed("node", "class_id")
-    members = read.filter("h IS NULL").select("coll", "id", "class_id").distinct()
-    full = members.join(known_nodes, "class_id", "left")
-    return full.select("coll", "id", "class_id", F.coalesce("label", "class_id").alias("group_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = records.filter("id IS NOT NULL AND text IS NOT NULL").select(F.col("coll").cast("int").alias("coll"), F.col("id").cast("bigint").alias("id"), "text")
+    read = read_once(known, ["coll", "id"], SHINGLE, COMMON, "neardup-read", "coll", keep_text=True)
+    links = near_links(read.df, least)
+    labels = connected_components(links.df, "a", "b", "neardup-components")
+    links.drop()
+    members = read.df.filter("h IS NULL").select("coll", "id", "class_id").distinct()
+    full = members.join(labels.df.select(F.col("node").alias("class_id"), "label"), "class_id", "left")
+    return full.select("coll", "id", "class_id", F.coalesce("label", "class_id").alias("group_key"))
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:

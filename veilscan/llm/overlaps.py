@@ -1,7 +1,15 @@
-"""Records of held-out splits that also stand, exactly or nearly, in the training split (rarest-first prefixes of word-run sets)."""
+"""Records of held-out splits that also stand, exactly or nearly, in the training split: winnowing fingerprints.
+
+Every text, train and held-out alike, is a sequence of hashes of K consecutive words. Of every WINDOW neighbouring hashes the
+least is kept, in one order for all texts (rare runs before common ones, then by hash), so that two texts with K + WINDOW - 1
+= 8 words in a row in common keep a common one. That covers an overlap of one half: a replaced word takes three of the
+three-word runs from each side, so that with J >= 0.5 the shared stretches are six runs (8 words) long on average
+and the longest of a pair is no shorter. Kept hashes are joined across the splits, counted by pair, and pairs are compared exactly.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.kernels import U, distinct_sets, fresh_rows, heavy_kgrams, in_sorted, kgrams, slices, text_class, word_hashes, words
+from veilscan.llm.kernels import U, distinct_sets, fresh_rows, heavy_of, in_sorted, kgrams, mix, slices, text_class, word_hashes, words
 from veilscan.llm.kernels import jaccard as exact_overlap
-from veilscan.llm.pairs import EXPAND, LEAST_WORDS, class_texts, with_class
+from veilscan.llm.pairs import EXPAND, LEAST_WORDS, class_texts, read_once
 from veilscan.session import stage
 
 #: Spellings of the splits, by letters only.
@@ -19,10 +27,14 @@ TRAIN = ("train", "training", "trn", "tr", "learn")
 VALIDATION = ("validation", "valid", "val", "dev", "devel", "development", "eval", "evaluation")
 TEST = ("test", "testing", "tst", "holdout", "heldout")
 
-#: Pairs must share this many runs of their prefixes (all that are needed, if fewer) before their texts are compared.
-MEET = 3
-#: Runs of words in at least this share of the texts are chosen last.
-COMMON = 0.001
+#: Words of a run, and neighbouring runs of which one is kept.
+K, WINDOW = 5, 4
+#: Runs in at least this share of the texts are common: kept last, and asked only of texts that hold little else.
+COMMON = 0.0005
+#: A pair must share one kept run for every ten that its poorer text has, at least one and at most MOST_NEEDED.
+MOST_NEEDED = 3
+#: Shares of a common run's texts, so that no run's join is one task's work.
+SALTS = 16
 
 
 def split_of(split: Column) -> Column:
@@ -31,40 +43,45 @@ def split_of(split: Column) -> Column:
     return F.when(s.isin(*TRAIN), "train").when(s.isin(*VALIDATION), "validation").when(s.isin(*TEST), "test")
 
 
-def _minima(order: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
-    """Positions (into order) of the least value of each run of ``window`` neighbours of one row; a row shorter than that has one."""
-    n = len(order)
+def minima(h: np.ndarray, row: np.ndarray, hot: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Positions of the least hash of each ``window`` neighbours of one row, common ones last; a row shorter than that has one."""
+    n = len(h)
     if not n:
         return np.zeros(0, np.int64)
+    order = (h >> U(1)) | (hot.astype(U) << U(63))
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     size = np.diff(np.r_[first, n])
-    last_start = np.repeat(first + np.maximum(size - window, 0), size)
-    start = np.flatnonzero(np.arange(n) <= last_start)
-    end = np.repeat(first + size, size)[start]
-    at = start[:, None] + np.arange(window)[None, :]
-    inside = at < end[:, None]
-    values = np.where(inside, order[np.minimum(at, n - 1)], np.iinfo(np.uint64).max)
-    return np.unique(start + values.argmin(1))
+    end = np.repeat(first + size, size)
+    at = np.arange(n)
+    least, where = order.copy(), at.copy()
+    for d in range(1, min(window, n)):
+        near = np.minimum(at + d, n - 1)
+        better = (at + d < end) & (order[near] < least)
+        least[better], where[better] = order[near][better], near[better]
+    return np.unique(where[at <= np.repeat(first + np.maximum(size - window, 0), size)])
 
 
-def prefixes(flat: np.ndarray, sizes: np.ndarray, common: np.ndarray, least: float, shingle: int) -> tuple[np.ndarray, ...]:
-    """(row, run, runs in the set): the first runs of each text's set in one order for all texts, common ones last.
+def fingerprints(flat: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, fingerprint, common or not, how many of them a row's pairs must share).
 
-    An overlap of ``least`` needs ceil(least * n) shared runs. Of those the first MEET stand among the first
-    n - ceil(least * n) + MEET, in both texts, so that no such pair is missed, whatever the edits and the lengths.
+    A text gives its common kept runs only if common runs are at least half of its runs: two texts that overlap by
+    one half share rarer runs otherwise.
     """
-    h, row = distinct_sets(*kgrams(flat, sizes, shingle)[:2])
+    h, row, _ = kgrams(flat, sizes, K)
     hot = in_sorted(h, common)
-    order = np.lexsort((h, hot, row))
-    h, row = h[order], row[order]
-    n = np.bincount(row, minlength=len(sizes))
-    need = np.ceil(least * n - 1e-9).astype(np.int64)
-    take = np.arange(len(h)) - (np.cumsum(n) - n)[row] < (n - need + np.minimum(need, MEET))[row]
-    return row[take], h[take], n[row[take]]
+    kept = minima(h, row, hot)
+    mostly = 2 * np.bincount(row, hot, minlength=len(sizes)) >= np.bincount(row, minlength=len(sizes))
+    kept = kept[~hot[kept] | mostly[row[kept]]]
+    fp, of = distinct_sets(h[kept], row[kept])
+    need = np.clip(np.bincount(of, minlength=len(sizes)) // 10, 1, MOST_NEEDED)
+    return of, fp, in_sorted(fp, common), need
+
 
+def postings(rows: DataFrame, common, held: bool) -> DataFrame:
+    """(fp, class_id) of every distinct text of a task; the lowest two bits of the class say how many runs its pairs must share.
 
-def postings(rows: DataFrame, common, least: float, shingle: int) -> DataFrame:
-    """(fp, class_id, n) of every distinct text of a task; copies within a task count once."""
+    A common run's training texts are dealt to SALTS names of the run, and its held-out texts stand under each name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -72,23 +89,35 @@ def postings(rows: DataFrame, common, least: float, shingle: int) -> DataFrame:
             flat, sizes = word_hashes(batch.column(0).to_pylist())
             ids = text_class(flat, sizes)
             fresh = fresh_rows(ids, done) & (sizes >= LEAST_WORDS)
-            row, fp, n = prefixes(flat[np.repeat(fresh, sizes)], sizes[fresh], common.value, least, shingle)
-            ids = ids[fresh]
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[row]), pa.array(n.astype(np.int32))], ["fp", "class_id", "n"])
+            row, fp, hot, need = fingerprints(flat[np.repeat(fresh, sizes)], sizes[fresh], common.value)
+            ids = (ids[fresh] & ~np.int64(3)) | need
+            copies = np.where(hot, SALTS, 1) if held else np.ones(len(fp), np.int64)
+            salt = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies) if held else np.where(hot, (ids[row] >> 2) % SALTS, 0)
+            fp, row = np.repeat(fp, copies), np.repeat(row, copies)
+            fp = np.where(salt > 0, mix(fp + salt.astype(U)), fp)
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[row])], ["fp", "class_id"])
+
+    return rows.select("text").mapInArrow(run, "fp bigint, class_id bigint")
 
-    return rows.select("text").mapInArrow(run, "fp bigint, class_id bigint, n int")
 
+def kept_places(word_list: list[str]) -> dict[int, list[int]]:
+    """Where a text's kept runs stand."""
+    flat, sizes = word_hashes([" ".join(word_list)])
+    h, row, pos = kgrams(flat, sizes, K)
+    out: dict[int, list[int]] = {}
+    for i in minima(h, row, np.zeros(len(h), bool)).tolist():
+        out.setdefault(int(h[i]), []).append(int(pos[i]))
+    return out
 
-def shared_starts(left: list[str], right: list[str], k: int) -> list[tuple[int, int]]:
-    """Where each run of k words of ``right`` stands in ``left``."""
-    at: dict[tuple[str, ...], list[int]] = {}
-    for i in range(len(left) - k + 1):
-        at.setdefault(tuple(left[i : i + k]), []).append(i)
-    return [(i, j) for j in range(len(right) - k + 1) for i in at.get(tuple(right[j : j + k]), ())]
+
+def seeds(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Places of the kept runs of both texts; a run that recurs is matched first with first, second with second."""
+    ours, theirs = kept_places(left), kept_places(right)
+    return [x for fp, at in ours.items() for x in zip(at, theirs.get(fp, ()))]
 
 
 def aligned(left: list[str], right: list[str], starts: list[tuple[int, int]]) -> int:
-    """Words of ``right`` covered by a chain of collinear seeds, each extended both ways while the words agree."""
+    """Words of ``right`` covered by the heaviest chain of collinear seeds, each extended both ways while the words agree."""
     blocks = []
     end: dict[int, int] = {}  # of the last block of each diagonal
     for i, j in sorted(set(starts)):
@@ -102,29 +131,38 @@ def aligned(left: list[str], right: list[str], starts: list[tuple[int, int]]) ->
             n += 1
         blocks.append((a, b, n))
         end[i - j] = a + n
-    best: list[int] = []
-    for x, (a, b, n) in enumerate(blocks):  # the heaviest chain that rises in both texts
-        best.append(n + max((best[y] for y in range(x) if blocks[y][0] + blocks[y][2] <= a and blocks[y][1] + blocks[y][2] <= b), default=0))
-    return max(best, default=0)
+    events = sorted([(a, 1, x) for x, (a, _, _) in enumerate(blocks)] + [(a + n, 0, x) for x, (a, _, n) in enumerate(blocks)])
+    ends, weights = [0], [0]  # the frontier: the heaviest chain that ends in ``right`` at or before each place
+    weight = [0] * len(blocks)
+    for _, opens, x in events:
+        _, b, n = blocks[x]
+        if opens:
+            weight[x] = n + weights[bisect_right(ends, b) - 1]
+            continue
+        at = bisect_right(ends, b + n)
+        if weights[at - 1] < weight[x]:
+            upto = at
+            while upto < len(ends) and weights[upto] <= weight[x]:
+                upto += 1
+            ends[at:upto], weights[at:upto] = [b + n], [weight[x]]
+    return weights[-1]
 
 
-def class_overlaps(rows: DataFrame, least: float = 0.5, shingle: int = 3) -> DataFrame:
+def class_overlaps(rows: DataFrame, common: np.ndarray, least: float = 0.5, shingle: int = 3) -> DataFrame:
     """(train_class, held_class, overlap, covered): pairs of distinct texts across the splits.
 
-    Pairs whose prefixes share enough runs, and whose sets are of sizes that allow the overlap, are compared exactly. The
-    shared runs of a pair found are chained where they are collinear and extended by alignment (``covered`` = share of
-    the held-out text's words).
+    Pairs that share enough kept runs are compared exactly. In a pair found the kept runs that both texts have are chained where
+    they are collinear and extended by alignment (``covered`` = share of the held-out text's words).
     """
-    runs = lambda flat, sizes: kgrams(flat, sizes, shingle)[0]
-    common = rows.sparkSession.sparkContext.broadcast(heavy_kgrams(rows, "text", runs, COMMON))
-    train = postings(rows.filter("side = 'train'"), common, least, shingle).select("fp", F.col("class_id").alias("a"), F.col("n").alias("na"))
-    held = postings(rows.filter("side <> 'train'"), common, least, shingle).select("fp", F.col("class_id").alias("b"), F.col("n").alias("nb"))
-    smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
-    met = train.join(held, "fp").filter(smaller >= least * larger - 1e-9).groupBy("a", "b", smaller.alias("n")).agg(F.count("*").alias("shared"))
-    met = met.filter(F.col("shared") >= F.least(F.lit(MEET), F.ceil(least * F.col("n") - 1e-9))).select("a", "b")
-    pairs = stage(met, "overlap-pairs").df
-    ta = class_texts(rows.filter("side = 'train'"), "text").select(F.col("class_id").alias("a"), F.col("text").alias("ta"))
-    tb = class_texts(rows.filter("side <> 'train'"), "text").select(F.col("class_id").alias("b"), F.col("text").alias("tb"))
+    spread = rows.sparkSession.sparkContext.broadcast(common)
+    train = postings(rows.filter("side = 'train'"), spread, False).withColumnRenamed("class_id", "a")
+    held = postings(rows.filter("side <> 'train'"), spread, True).withColumnRenamed("class_id", "b")
+    met = train.join(held, "fp").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    met = met.filter(F.col("shared") >= F.least(F.col("a").bitwiseAND(3), F.col("b").bitwiseAND(3)))
+    pairs = stage(met.select(F.col("a").bitwiseAND(~3).alias("a"), F.col("b").bitwiseAND(~3).alias("b")), "overlap-pairs").df
+    class_of = F.col("class_id").bitwiseAND(~3)
+    ta = class_texts(rows.filter("side = 'train'"), "text").select(class_of.alias("a"), F.col("text").alias("ta"))
+    tb = class_texts(rows.filter("side <> 'train'"), "text").select(class_of.alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -134,7 +172,7 @@ def class_overlaps(rows: DataFrame, least: float = 0.5, shingle: int = 3) -> Dat
             covered = []
             for x in ok:
                 left_words, right_words = words(left[x]), words(right[x])
-                covered.append(aligned(left_words, right_words, shared_starts(left_words, right_words, shingle)) / len(right_words))
+                covered.append(aligned(left_words, right_words, seeds(left_words, right_words)) / len(right_words))
             at = pa.array(ok)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(share[ok]), pa.array(covered, pa.float64())], ["train_class", "held_class", "overlap", "covered"]
@@ -144,21 +182,29 @@ def class_overlaps(rows: DataFrame, least: float = 0.5, shingle: int = 3) -> Dat
     return full.mapInArrow(run, "train_class bigint, held_class bigint, overlap double, covered double")
 
 
+def overlap_stages(samples: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(links between classes of equal texts, members: sample_id, class_id, side, source, n_words of each counted sample)."""
+    rows = samples.select("sample_id", "source", split_of(F.col("split")).alias("side"), "text")
+    rows = rows.filter("sample_id IS NOT NULL AND text IS NOT NULL AND side IS NOT NULL")
+    read = read_once(rows, ["sample_id", "source", "side"], K, COMMON, "overlap-read")
+    common = heavy_of(read.df.filter("h IS NOT NULL").select("h", "n", "texts"), COMMON)
+    links = stage(class_overlaps(rows, common, least), "overlap-links").df
+    members = read.df.filter("h IS NULL").select("sample_id", "source", "side", "n_words", F.col("class_id").bitwiseAND(~3).alias("class_id"))
+    return links, members.groupBy("sample_id", "class_id", (F.col("side") != "train").alias("held")).agg(
+        F.min("side").alias("side"), F.min("source").alias("source"), F.min("n_words").alias("n_words")
+    )
+
+
 def cross_split_overlaps(samples: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per (train sample, held-out sample) whose sets of three consecutive words overlap by ``least`` or more.
 
     ``samples`` has sample_id, text, split, source and label; other columns are ignored. Rows without a known split, a
     null id, a null text or under ten words do not count; repeated deliveries count once. Texts of equal words are one
     class: a class of more than EXPAND copies on one side is given by its least sample against each sample of the
-    other side, and the other side's least sample against each copy, so that no text and no row is lost. Empty
-    tables give no rows.
+    other side, and the other side's least sample against each copy, so that no text and no row is lost (see also
+    ``overlap_classes``, which has a row per class pair and membership). Empty tables give no rows.
     """
-    rows = samples.select("sample_id", "text", "source", split_of(F.col("split")).alias("side"))
-    rows = rows.filter("sample_id IS NOT NULL AND text IS NOT NULL AND side IS NOT NULL")
-    links = stage(class_overlaps(rows, least), "overlap-links").df
-    members = with_class(rows, "text").groupBy("sample_id", "class_id", (F.col("side") != "train").alias("held")).agg(
-        F.first("side").alias("side"), F.first("source").alias("source"), F.first("n_words").alias("n_words")
-    )
+    links, members = overlap_stages(samples, least)
     need = links.select(F.col("train_class").alias("class_id")).union(links.select(F.col("held_class"))).distinct()
     members = stage(members.join(need, "class_id", "left_semi"), "overlap-members").df
     sizes = members.groupBy("class_id", "held").agg(F.count("*").alias("n"), F.min("sample_id").alias("least_id"))
@@ -170,6 +216,14 @@ def cross_split_overlaps(samples: DataFrame, least: float = 0.5) -> DataFrame:
     return led.unionByName(rest).filter("train_id <> held_id").select("train_id", "held_id", "held_split", "train_source", "held_source", "overlap", "covered")
 
 
+def overlap_classes(samples: DataFrame, least: float = 0.5) -> DataFrame:
+    """(sample_id, class_id, side, n_links): the class of every counted sample, and how many classes of the other side overlap with it."""
+    links, members = overlap_stages(samples, least)
+    ends = links.select(F.col("train_class").alias("class_id"), F.lit(False).alias("held")).unionByName(links.select(F.col("held_class").alias("class_id"), F.lit(True).alias("held")))
+    degree = ends.groupBy("class_id", "held").agg(F.count("*").alias("n_links"))
+    return members.join(degree, ["class_id", "held"], "left").select("sample_id", "class_id", "side", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def overlap_report(found: DataFrame) -> DataFrame:
     """Per held-out split and source: overlapping records, their pairs, mean coverage; spelling by letters and digits only."""
     key = F.regexp_replace(F.lower(F.coalesce("held_source", F.lit(""))), r"[^\p{L}\p{N}]", "")

@@ -9,52 +9,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.kernels import jaccard, slices, text_class, word_hashes
+from veilscan.llm.kernels import BlockCounter, jaccard, kgrams, slices, text_class, word_hashes
+from veilscan.session import Stage, stage
 
 #: Groups of exact copies (and groups of records) beyond this size are given as pairs with their least member.
 EXPAND = 1000
 LEAST_WORDS = 10
 
 
-def with_class(rows: DataFrame, text: str, salt: str | None = None, keep_text: bool = False) -> DataFrame:
-    """Adds class_id (equal for equal word sequences) and n_words; texts under ten words fall away.
+_COUNTS = {"h": pa.int64(), "n": pa.int64(), "texts": pa.int64()}
+
+
+def read_once(rows: DataFrame, keep: list[str], k: int, share: float, name: str, salt: str | None = None, keep_text: bool = False) -> Stage:
+    """One pass over the texts: each row of ten words or more with its class_id (equal for equal word sequences) and n_words,
+    and, as rows with h not null, block counts of the runs of ``k`` words (see ``BlockCounter``).
 
     ``salt`` names a small-integer column that separates collections.
     """
-    schema = rows.drop(text).schema.add("class_id", "long").add("n_words", "integer")
-    schema = schema.add("text", "string") if keep_text else schema
-    names = [c for c in rows.columns if c != text]
+    cols = keep + (["text"] if keep_text else [])
+    schema = rows.select(*cols).schema.add("class_id", "long").add("n_words", "integer").add("h", "long").add("n", "long").add("texts", "long")
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = BlockCounter(share)
+
+        def full(given: dict[str, pa.Array], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+            n = len(next(iter(given.values())))
+            return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, types[c]) for c in names], names)
+
+        def counted(reports: list[pa.RecordBatch], types: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+            for r in reports:
+                yield full({"h": r.column(0), "n": r.column(1), "texts": r.column(2)}, types)
+
+        types: dict[str, pa.DataType] = {}
         for batch in slices(batches):
-            col = batch.column(batch.schema.get_field_index(text))
-            flat, sizes = word_hashes(col.to_pylist())
+            col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            types = {c: col(c).type for c in cols} | {"class_id": pa.int64(), "n_words": pa.int32()} | _COUNTS
+            flat, sizes = word_hashes(col("text").to_pylist())
             ids = text_class(flat, sizes)
             if salt:
-                ids = ids ^ (batch.column(batch.schema.get_field_index(salt)).to_numpy(zero_copy_only=False).astype(np.int64) << 56)
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            cols += [pa.array(ids), pa.array(sizes.astype(np.int32))] + ([col] if keep_text else [])
-            out = pa.RecordBatch.from_arrays(cols, [*names, "class_id", "n_words"] + (["text"] if keep_text else []))
+                ids = ids ^ (col(salt).to_numpy(zero_copy_only=False).astype(np.int64) << 56)
+            out = full({c: col(c) for c in cols} | {"class_id": pa.array(ids), "n_words": pa.array(sizes.astype(np.int32))}, types)
+            yield out.filter(pa.array(sizes >= LEAST_WORDS))
+            yield from counted(counter.add(kgrams(flat, sizes, k)[0], batch.num_rows), types)
+        yield from counted(counter.close(), types)
+
+    return stage(rows.select(*keep, "text").mapInArrow(run, schema), name)
+
+
+def with_class(rows: DataFrame, text: str) -> DataFrame:
+    """(class_id, text) of texts of ten words or more; the class is equal for equal word sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            flat, sizes = word_hashes(batch.column(0).to_pylist())
+            out = pa.RecordBatch.from_arrays([pa.array(text_class(flat, sizes)), batch.column(0)], ["class_id", "text"])
             yield out.filter(pa.array(sizes >= LEAST_WORDS))
 
-    return rows.mapInArrow(run, schema)
+    return rows.select(text).mapInArrow(run, "class_id bigint, text string")
 
 
-def class_texts(rows: DataFrame, text: str, salt: str | None = None) -> DataFrame:
+def class_texts(rows: DataFrame, text: str) -> DataFrame:
     """(class_id, text), one text a class; copies fall together before the shuffle."""
-    cols = [text] + ([salt] if salt else [])
-    return with_class(rows.select(*cols), text, salt, keep_text=True).groupBy("class_id").agg(F.first("text").alias("text"))
+    return with_class(rows, text).groupBy("class_id").agg(F.min("text").alias("text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float, k: int = 3) -> DataFrame:
     """Candidate pairs (a, b) of classes whose sets of k consecutive words overlap by ``least`` or more, exactly.
 
-    Texts are shuffled once; only those that stand in a pair go on, and meet by pair.
+    ``texts`` (class_id, text) are shuffled once and meet the pairs' second ends, then, with that one text a pair, the first.
     """
-    ends = pairs.select(F.col("a").alias("class_id"), "a", "b").union(pairs.select(F.col("b").alias("class_id"), "a", "b"))
-    met = ends.join(texts, "class_id").groupBy("a", "b").agg(
-        F.max(F.when(F.col("class_id") == F.col("a"), F.col("text"))).alias("ta"), F.max(F.when(F.col("class_id") == F.col("b"), F.col("text"))).alias("tb")
-    )
+    met = pairs.join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("tb")), "b")
+    met = met.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

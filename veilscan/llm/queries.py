@@ -20,6 +20,10 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.overlap_report(overlaps.cross_split_overlaps(table(spark, d, "labelled_text")))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlap_classes(table(spark, d, "labelled_text"))
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     samples = table(spark, d, "labelled_text").select(F.lit(0).alias("coll"), F.col("sample_id").alias("id"), "text")
     return samples.union(table(spark, d, "trap").select(F.lit(1).alias("coll"), F.col("trap_id").alias("id"), F.col("payload").alias("text")))
@@ -36,7 +40,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     groups = neardup.near_groups(_records(spark, d))
     least = groups.groupBy("group_key").agg(F.min("id").alias("group_id"))
-    return groups.join(least, "group_key").select(_collection(), "id", "group_id", "class_id", "n_links")
+    return groups.join(least, "group_key").select(_collection(), "id", "group_id", "class_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,4 +75,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_statistics(spark, d).filter("kind IS NOT NULL").select("doc_id", "kind")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_split": p4_split, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_report": p3_report, "p3_classes": p3_classes, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_split": p4_split, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_statistics": p8_statistics}
