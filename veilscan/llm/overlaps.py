@@ -28,11 +28,11 @@ VALIDATION = ("validation", "valid", "val", "dev", "devel", "development", "eval
 TEST = ("test", "testing", "tst", "holdout", "heldout")
 
 #: Words of a run, and neighbouring runs of which one is kept.
-K, WINDOW = 5, 4
+K, WINDOW = 6, 3
 #: Runs in at least this share of the texts are common: kept last, and asked only of texts that hold little else.
 COMMON = 0.0005
-#: A pair must share one kept run for every ten that its poorer text has, at least one and at most MOST_NEEDED.
-MOST_NEEDED = 3
+#: A pair must share one kept run for every NEED_ONE_IN that its poorer text has, at least one and at most NEED_MASK.
+NEED_ONE_IN, NEED_MASK = 8, 15
 #: Shares of a common run's texts, so that no run's join is one task's work.
 SALTS = 16
 
@@ -73,12 +73,12 @@ def fingerprints(flat: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> tup
     mostly = 2 * np.bincount(row, hot, minlength=len(sizes)) >= np.bincount(row, minlength=len(sizes))
     kept = kept[~hot[kept] | mostly[row[kept]]]
     fp, of = distinct_sets(h[kept], row[kept])
-    need = np.clip(np.bincount(of, minlength=len(sizes)) // 10, 1, MOST_NEEDED)
+    need = np.clip(np.bincount(of, minlength=len(sizes)) // NEED_ONE_IN, 1, NEED_MASK)
     return of, fp, in_sorted(fp, common), need
 
 
 def postings(rows: DataFrame, common, held: bool) -> DataFrame:
-    """(fp, class_id) of every distinct text of a task; the lowest two bits of the class say how many runs its pairs must share.
+    """(fp, class_id) of every distinct text of a task; the lowest four bits of the class say how many runs its pairs must share.
 
     A common run's training texts are dealt to SALTS names of the run, and its held-out texts stand under each name.
     """
@@ -90,9 +90,9 @@ def postings(rows: DataFrame, common, held: bool) -> DataFrame:
             ids = text_class(flat, sizes)
             fresh = fresh_rows(ids, done) & (sizes >= LEAST_WORDS)
             row, fp, hot, need = fingerprints(flat[np.repeat(fresh, sizes)], sizes[fresh], common.value)
-            ids = (ids[fresh] & ~np.int64(3)) | need
+            ids = (ids[fresh] & ~np.int64(NEED_MASK)) | need
             copies = np.where(hot, SALTS, 1) if held else np.ones(len(fp), np.int64)
-            salt = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies) if held else np.where(hot, (ids[row] >> 2) % SALTS, 0)
+            salt = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies) if held else np.where(hot, (ids[row] >> 4) % SALTS, 0)
             fp, row = np.repeat(fp, copies), np.repeat(row, copies)
             fp = np.where(salt > 0, mix(fp + salt.astype(U)), fp)
             yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[row])], ["fp", "class_id"])
@@ -158,9 +158,9 @@ def class_overlaps(rows: DataFrame, common: np.ndarray, least: float = 0.5, shin
     train = postings(rows.filter("side = 'train'"), spread, False).withColumnRenamed("class_id", "a")
     held = postings(rows.filter("side <> 'train'"), spread, True).withColumnRenamed("class_id", "b")
     met = train.join(held, "fp").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    met = met.filter(F.col("shared") >= F.least(F.col("a").bitwiseAND(3), F.col("b").bitwiseAND(3)))
-    pairs = stage(met.select(F.col("a").bitwiseAND(~3).alias("a"), F.col("b").bitwiseAND(~3).alias("b")), "overlap-pairs").df
-    class_of = F.col("class_id").bitwiseAND(~3)
+    met = met.filter(F.col("shared") >= F.least(F.col("a").bitwiseAND(NEED_MASK), F.col("b").bitwiseAND(NEED_MASK)))
+    pairs = stage(met.select(F.col("a").bitwiseAND(~NEED_MASK).alias("a"), F.col("b").bitwiseAND(~NEED_MASK).alias("b")), "overlap-pairs").df
+    class_of = F.col("class_id").bitwiseAND(~NEED_MASK)
     ta = class_texts(rows.filter("side = 'train'"), "text").select(class_of.alias("a"), F.col("text").alias("ta"))
     tb = class_texts(rows.filter("side <> 'train'"), "text").select(class_of.alias("b"), F.col("text").alias("tb"))
 
@@ -189,7 +189,7 @@ def overlap_stages(samples: DataFrame, least: float = 0.5) -> tuple[DataFrame, D
     read = read_once(rows, ["sample_id", "source", "side"], K, COMMON, "overlap-read")
     common = heavy_of(read.df.filter("h IS NOT NULL").select("h", "n", "texts"), COMMON)
     links = stage(class_overlaps(rows, common, least), "overlap-links").df
-    members = read.df.filter("h IS NULL").select("sample_id", "source", "side", "n_words", F.col("class_id").bitwiseAND(~3).alias("class_id"))
+    members = read.df.filter("h IS NULL").select("sample_id", "source", "side", "n_words", F.col("class_id").bitwiseAND(~NEED_MASK).alias("class_id"))
     return links, members.groupBy("sample_id", "class_id", (F.col("side") != "train").alias("held")).agg(
         F.min("side").alias("side"), F.min("source").alias("source"), F.min("n_words").alias("n_words")
     )

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from veilscan.llm.kernels import BlockCounter, jaccard, kgrams, slices, text_class, word_hashes
 from veilscan.session import Stage, stage
@@ -27,7 +28,7 @@ def read_once(rows: DataFrame, keep: list[str], k: int, share: float, name: str,
     ``salt`` names a small-integer column that separates collections.
     """
     cols = keep + (["text"] if keep_text else [])
-    schema = rows.select(*cols).schema.add("class_id", "long").add("n_words", "integer").add("h", "long").add("n", "long").add("texts", "long")
+    schema = StructType([StructField(f.name, f.dataType) for f in rows.select(*cols).schema]).add("class_id", "long").add("n_words", "integer").add("h", "long").add("n", "long").add("texts", "long")
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
