@@ -234,7 +234,8 @@ def near_groups(records: DataFrame, least: float = 0.5) -> DataFrame:
     Empty tables give no rows.
     """
     known = records.filter("id IS NOT NULL AND text IS NOT NULL").select(F.col("coll").cast("int").alias("coll"), F.col("id").cast("bigint").alias("id"), "text")
-    read = read_once(known, ["coll", "id"], SHINGLE, COMMON, "neardup-read", "coll", keep_text=True)
+    runs = lambda flat, sizes: kgrams(flat, sizes, SHINGLE)[0]
+    read = read_once(known, ["coll", "id"], runs, COMMON, "neardup-read", "coll", keep_text=True)
     links = near_links(read.df, least)
     labels = connected_components(links.df, "a", "b", "neardup-components")
     links.drop()

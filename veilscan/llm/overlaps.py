@@ -4,7 +4,8 @@ Every text, train and held-out alike, is a sequence of hashes of K consecutive w
 least is kept, in one order for all texts (rare runs before common ones, then by hash), so that two texts with K + WINDOW - 1
 = 8 words in a row in common keep a common one. That covers an overlap of one half: a replaced word takes three of the
 three-word runs from each side, so that with J >= 0.5 the shared stretches are six runs (8 words) long on average
-and the longest of a pair is no shorter. Kept hashes are joined across the splits, counted by pair, and pairs are compared exactly.
+and the longest of a pair of 48 words or more is no shorter. In shorter texts an edit near the middle leaves less: they have,
+besides or instead, kept runs of SHORT_K words of every SHORT_WINDOW (5 words in a row). Kept hashes are joined across the splits, counted by pair, and pairs are compared exactly.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ TEST = ("test", "testing", "tst", "holdout", "heldout")
 
 #: Words of a run, and neighbouring runs of which one is kept.
 K, WINDOW = 6, 3
+SHORT_K, SHORT_WINDOW = 4, 2
+#: Sets of three-word runs up to SHORT have the short runs, those above half of it the long ones: a pair of 0.5 has one kind in common.
+SHORT = 48
 #: Runs in at least this share of the texts are common: kept last, and asked only of texts that hold little else.
 COMMON = 0.0005
 #: A pair must share one kept run for every NEED_ONE_IN that its poorer text has, at least one and at most NEED_MASK.
@@ -61,19 +65,41 @@ def minima(h: np.ndarray, row: np.ndarray, hot: np.ndarray, window: int = WINDOW
     return np.unique(where[at <= np.repeat(first + np.maximum(size - window, 0), size)])
 
 
+def _short(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts have short runs, and which long ones."""
+    n = np.bincount(distinct_sets(*kgrams(flat, sizes, 3)[:2])[1], minlength=len(sizes))
+    return n <= SHORT, 2 * n > SHORT
+
+
+def runs(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of all runs from which some are kept."""
+    short, _ = _short(flat, sizes)
+    return np.concatenate([kgrams(flat, sizes, K)[0], kgrams(flat[np.repeat(short, sizes)], sizes[short], SHORT_K)[0]])
+
+
+def _kept(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray, k: int, window: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h, row, _ = kgrams(flat[np.repeat(which, sizes)], sizes[which], k)
+    hot = in_sorted(h, common)
+    kept = minima(h, row, hot, window)
+    mostly = 2 * np.bincount(row, hot, minlength=which.sum()) >= np.bincount(row, minlength=which.sum())
+    kept = kept[~hot[kept] | mostly[row[kept]]]
+    return h[kept], np.flatnonzero(which)[row[kept]]
+
+
 def fingerprints(flat: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, fingerprint, common or not, how many of them a row's pairs must share).
 
     A text gives its common kept runs only if common runs are at least half of its runs: two texts that overlap by
-    one half share rarer runs otherwise.
+    one half share rarer runs otherwise. Of a text with runs of both lengths the fewer say how many must be shared.
     """
-    h, row, _ = kgrams(flat, sizes, K)
-    hot = in_sorted(h, common)
-    kept = minima(h, row, hot)
-    mostly = 2 * np.bincount(row, hot, minlength=len(sizes)) >= np.bincount(row, minlength=len(sizes))
-    kept = kept[~hot[kept] | mostly[row[kept]]]
-    fp, of = distinct_sets(h[kept], row[kept])
-    need = np.clip(np.bincount(of, minlength=len(sizes)) // NEED_ONE_IN, 1, NEED_MASK)
+    short, long = _short(flat, sizes)
+    out, need = [], np.full(len(sizes), NEED_MASK)
+    for which, k, window in ((short, SHORT_K, SHORT_WINDOW), (long, K, WINDOW)):
+        fp, of = distinct_sets(*_kept(flat, sizes, which, k, window, common))
+        out.append((of, fp))
+        n = np.bincount(of, minlength=len(sizes)) // NEED_ONE_IN
+        need = np.where(which, np.minimum(need, np.maximum(n, 1)), need)
+    of, fp = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
     return of, fp, in_sorted(fp, common), need
 
 
@@ -186,7 +212,7 @@ def overlap_stages(samples: DataFrame, least: float = 0.5) -> tuple[DataFrame, D
     """(links between classes of equal texts, members: sample_id, class_id, side, source, n_words of each counted sample)."""
     rows = samples.select("sample_id", "source", split_of(F.col("split")).alias("side"), "text")
     rows = rows.filter("sample_id IS NOT NULL AND text IS NOT NULL AND side IS NOT NULL")
-    read = read_once(rows, ["sample_id", "source", "side"], K, COMMON, "overlap-read")
+    read = read_once(rows, ["sample_id", "source", "side"], runs, COMMON, "overlap-read")
     common = heavy_of(read.df.filter("h IS NOT NULL").select("h", "n", "texts"), COMMON)
     links = stage(class_overlaps(rows, common, least), "overlap-links").df
     members = read.df.filter("h IS NULL").select("sample_id", "source", "side", "n_words", F.col("class_id").bitwiseAND(~NEED_MASK).alias("class_id"))

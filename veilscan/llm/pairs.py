@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from veilscan.llm.kernels import BlockCounter, jaccard, kgrams, slices, text_class, word_hashes
+from veilscan.llm.kernels import BlockCounter, jaccard, slices, text_class, word_hashes
 from veilscan.session import Stage, stage
 
 #: Groups of exact copies (and groups of records) beyond this size are given as pairs with their least member.
@@ -21,9 +21,9 @@ LEAST_WORDS = 10
 _COUNTS = {"h": pa.int64(), "n": pa.int64(), "texts": pa.int64()}
 
 
-def read_once(rows: DataFrame, keep: list[str], k: int, share: float, name: str, salt: str | None = None, keep_text: bool = False) -> Stage:
+def read_once(rows: DataFrame, keep: list[str], grams, share: float, name: str, salt: str | None = None, keep_text: bool = False) -> Stage:
     """One pass over the texts: each row of ten words or more with its class_id (equal for equal word sequences) and n_words,
-    and, as rows with h not null, block counts of the runs of ``k`` words (see ``BlockCounter``).
+    and, as rows with h not null, block counts of the hashes that ``grams`` makes of a batch's words (see ``BlockCounter``).
 
     ``salt`` names a small-integer column that separates collections.
     """
@@ -52,7 +52,7 @@ def read_once(rows: DataFrame, keep: list[str], k: int, share: float, name: str,
                 ids = ids ^ (col(salt).to_numpy(zero_copy_only=False).astype(np.int64) << 56)
             out = full({c: col(c) for c in cols} | {"class_id": pa.array(ids), "n_words": pa.array(sizes.astype(np.int32))}, types)
             yield out.filter(pa.array(sizes >= LEAST_WORDS))
-            yield from counted(counter.add(kgrams(flat, sizes, k)[0], batch.num_rows), types)
+            yield from counted(counter.add(grams(flat, sizes), batch.num_rows), types)
         yield from counted(counter.close(), types)
 
     return stage(rows.select(*keep, "text").mapInArrow(run, schema), name)
