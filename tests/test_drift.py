@@ -53,3 +53,14 @@ def test_lattice():
     assert drift.promote({"number", "boolean", None}) == "number"
     assert drift.promote({"array<string>", "string"}) == "string"
     assert drift.promote({None}) == "string" and drift.promote({"object"}) == "object"
+
+
+def test_two_names_that_one_line_holds_stay_two_columns(spark):
+    first = [{"id": i, "note": f"the text of number {i}"} for i in range(9)]
+    second = [{"id": i, "remark": f"the text of number {i}"} for i in range(9)]
+    both = [{"id": i, "note": f"note {i}", "remark": f"remark {i}"} for i in range(9)]
+    rows = lines(spark, [("a", A, first), ("a", B, second), ("b", A, both)])
+    assert ("renamed", "note", "remark") in {(r.change_kind, r.old_field, r.new_field) for r in drift.schema_changes(rows).collect()}
+    table = drift.unified_table(rows)
+    got = {(r.lane, r.line_no, r.file_name[-21:-5]): (r.f_note, r.f_remark) for r in table.collect()}
+    assert got["b", 3, A] == ("note 3", "remark 3") and got["a", 3, A] == ("the text of number 3", None) and got["a", 3, B] == (None, "the text of number 3")

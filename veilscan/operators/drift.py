@@ -43,11 +43,8 @@ def read_lines(results: DataFrame) -> DataFrame:
 
 def field_values(lines: DataFrame) -> DataFrame:
     """(file_name, line_no, field, kind, value as text) of every top-level field of every readable line."""
-    lines.createOrReplaceTempView("_veilscan_lines")
-    flat = lines.sparkSession.sql(
-        "SELECT l.file_name, l.line_no, e.key AS field, e.value FROM _veilscan_lines l, LATERAL variant_explode(l.doc) e"
-        " WHERE e.key IS NOT NULL"
-    )
+    each = lines.sparkSession.tvf.variant_explode(F.col("doc").outer())
+    flat = lines.lateralJoin(each).filter("key IS NOT NULL").select("file_name", "line_no", F.col("key").alias("field"), "value")
     return flat.select("file_name", "line_no", "field", value_kind(F.col("value")).alias("kind"), F.expr("to_json(value)").alias("text"))
 
 
@@ -154,44 +151,59 @@ def promote(kinds: set[str]) -> str:
     return "number" if known == {"boolean", "number"} else "string"
 
 
-def union_schema(schemas: DataFrame, renames: DataFrame) -> dict[str, tuple[list[str], str]]:
+def held_together(values: DataFrame, renames: DataFrame) -> set[tuple[str, str]]:
+    """Pairs of renamed fields that one line holds both of, with values: they are two fields, whatever another lane calls them."""
+    names = renames.select(F.explode(F.array("old_field", "new_field")).alias("field")).distinct()
+    some = values.filter("text <> 'null'").join(names, "field", "left_semi").select("file_name", "line_no", "field").distinct()
+    sets = some.groupBy("file_name", "line_no").agg(F.array_sort(F.collect_list("field")).alias("a")).filter("size(a) > 1").select("a").distinct()
+    pairs = sets.select(F.explode("a").alias("x"), "a").select("x", F.explode("a").alias("y")).filter("x < y").distinct()
+    got = pairs.limit(MOST_FIELDS + 1).collect()
+    if len(got) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} pairs of renamed fields: keys look like data, not like a schema")
+    return {(r.x, r.y) for r in got}
+
+
+def union_schema(schemas: DataFrame, renames: DataFrame, apart: set[tuple[str, str]] = frozenset()) -> dict[str, tuple[list[str], str]]:
     """canonical field -> (its names, promoted type), folded over all file schemas.
 
-    Only distinct names and kinds come to the driver: that is the schema itself, refused beyond MOST_FIELDS.
+    Names that a rename links become one field unless that put two names of ``apart`` together. Only distinct names and
+    kinds come to the driver: that is the schema itself, refused beyond MOST_FIELDS.
     """
     seen = schemas.groupBy("field").agg(F.collect_set("kind").alias("kinds"), F.count("*").alias("n")).limit(MOST_FIELDS + 1).collect()
-    links = renames.select("old_field", "new_field").distinct().limit(MOST_FIELDS + 1).collect()
+    links = renames.groupBy("old_field", "new_field").agg(F.count("*").alias("n")).limit(MOST_FIELDS + 1).collect()
     if max(len(seen), len(links)) > MOST_FIELDS:
         raise ValueError(f"more than {MOST_FIELDS} field names: keys look like data, not like a schema")
-    root = {r.field: r.field for r in seen}
-
-    def top(x: str) -> str:
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in links:
-        root[top(a)] = top(b)
-    groups: dict[str, list] = {}
-    for r in seen:
-        groups.setdefault(top(r.field), []).append(r)
+    names = {r.field: [r.field] for r in seen}
+    for r in links:
+        names.setdefault(r.old_field, [r.old_field])
+        names.setdefault(r.new_field, [r.new_field])
+    for r in sorted(links, key=lambda r: (-r.n, r.old_field, r.new_field)):  # the most frequent renames first
+        one, two = names[r.old_field], names[r.new_field]
+        if one is not two and not any((min(x, y), max(x, y)) in apart for x in one for y in two):
+            one += two
+            names.update(dict.fromkeys(two, one))
+    by_name = {r.field: r for r in seen}
     out = {}
-    for rows in groups.values():
-        rows.sort(key=lambda r: (-r.n, r.field))
-        out[rows[0].field] = ([r.field for r in rows], promote({k for r in rows for k in r.kinds}))
+    for group in {id(g): g for g in names.values()}.values():
+        rows = sorted((by_name[f] for f in group if f in by_name), key=lambda r: (-r.n, r.field))
+        if rows:
+            out[rows[0].field] = ([r.field for r in rows], promote({k for r in rows for k in r.kinds}))
     return dict(sorted(out.items()))
 
 
 def unified_table(results: DataFrame) -> DataFrame:
     """All results in one table: a column per canonical field, cast to the union schema, one row per readable line.
 
+    A renamed field is one column under its most frequent name; two names that some line holds both keep their own columns.
+
     A column that met several kinds from file to file is text and keeps every value; a single value of another kind that
     cannot be cast to its column's type is NULL there and stands, as text, in the map ``unfit`` under its field. ``generated_at`` is restored from the file's name.
     Field columns are prefixed ``f_`` so that they never clash with the file's own columns.
     """
     stages = drift_stages(results)
     changes = schema_changes(results, stages).filter("change_kind = 'renamed'")
-    fields = union_schema(stages[1].df, changes)
+    changes = stage(changes, "drift-renamed").df
+    fields = union_schema(stages[1].df, changes, held_together(stages[0].df, changes))
     to = {"string": "string", "number": "double", "boolean": "boolean", "array<string>": "array<string>", "array<number>": "array<double>", "array<boolean>": "array<boolean>"}
     cols, unfit = [], []
     for name, (names, kind) in fields.items():
