@@ -86,6 +86,18 @@ def test_leaks_against_brute_force(spark):
     want = {(doc, i) for doc, t, _ in docs for i, g in item_grams if g & grams(t)}
     assert got == want and len(want) > 20
     assert leaks.leaks(d.limit(0), e).count() == 0 and leaks.leaks(d, e.limit(0)).count() == 0
+    index = leaks.build_index(d, segment=100)  # asked twice, once with other items
+    again = {(r.doc_id, r.item_id) for r in leaks.leaks(d, e, index).filter("match = 'phrase'").collect()}
+    some = {(r.doc_id, r.item_id) for r in leaks.leaks(d, e.filter("item_id % 2 = 0"), index).filter("match = 'phrase'").collect()}
+    assert again == want and some == {x for x in want if x[1] % 2 == 0} and index.df.count() > 4
+
+
+def test_proximity(spark):
+    item = [f"w{i}" for i in range(30)]
+    near = item[:10] + ["x"] + item[11:20] + ["y", "z"] + item[22:]
+    d = spark.createDataFrame([(1, " ".join(near)), (2, " ".join(item[:10])), (3, " ".join(item[:7] + ["x"] + item[8:15]))], "doc_id bigint, text string")
+    got = leaks.leaks(d, spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.match, r.run_words) for r in got] == [(1, 7, "proximity", 10)] and got[0].share == pytest.approx(0.9)
 
 
 def test_leaks_in_blocks(spark, monkeypatch):

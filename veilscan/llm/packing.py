@@ -157,6 +157,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str = RANKS) -> DataFr
     the number of documents. Documents without tokens go to container 0. Empty in, empty out.
     """
     sized = token_counts(docs, path).withColumns({"q": F.expr(f"n_tokens DIV {capacity}"), "r": F.expr(f"n_tokens % {capacity}")})
+    sized = stage(sized, "pack-sizes").df  # ranges are sampled, then written: two reads, one pass of the tokenizer
     order = ranged(sized, ["r", "doc_id"], "pack-order").df
     counts = np.zeros(capacity + 1, np.int64)
     for row in order.groupBy("r").agg(F.count("*").alias("n")).collect():  # at most one row per length
