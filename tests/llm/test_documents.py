@@ -131,6 +131,20 @@ def test_kinds_and_statistics(spark):
     assert quality.text_quality(df.limit(0)).count() == 0
 
 
+OTHERS = {
+    "ru": "Разбор входных данных теперь проверяется до записи в журнал. Это безопасно, потому что другая ветка его не видит.\n" * 5,
+    "pl": "Obsługa pustych wierszy została przeniesiona do osobnej funkcji. Dzięki temu wynik nie zależy już od kolejności plików.\n" * 5,
+    "it": "La lettura del registro resta aperta finché il controllo non è finito. Così nessuna riga viene persa durante la chiusura.\n" * 5,
+    "hi": "यह परिवर्तन खाली पंक्तियों को पढ़ते समय होने वाली त्रुटि को ठीक करता है। अब परिणाम फ़ाइलों के क्रम पर निर्भर नहीं करता।\n" * 5,
+}
+
+
+def test_prose_without_a_word_list_is_prose(spark):
+    docs = [(i, HEADER + t, g) for i, (g, t) in enumerate(OTHERS.items())] + [(50 + i, HEADER + PROSE + f"number {i}", "en") for i in range(20)]
+    rows = quality.text_quality(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()
+    assert {r.kind for r in rows} == {"prose"}
+
+
 def test_ranks_are_exact(spark):
     rng = random.Random(3)
     docs = [(i, " ".join("ab" for _ in range(rng.choice((1, 1, 1, 5, 9, 30)))), rng.choice(["en", "en", "en", "de"])) for i in range(300)]

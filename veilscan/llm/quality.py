@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from veilscan.session import stage
 #: A kind must hold this share of the characters, in a document of at least so many words.
 SHARE, LEAST_WORDS = 0.7, 25
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words")
+#: Where prose-like lines are taken for garbled text.
+OUTLIER, TAIL = 12.0, 0.02
 #: The rank tables are broadcast up to this many rows (distinct values), and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,7 +46,21 @@ _HEXDUMP = re.compile(r"[0-9a-f]{6,}:?\s+(?:[0-9a-f]{2,4}\s+){4,}", re.I)
 _LONG = re.compile(r"\S{38,}")
 _ESCAPE = re.compile(r"\x1b\[|\\x[0-9a-f]{2}|\\u[0-9a-f]{4}|[�\x00-\x08\x0e-\x1f]", re.I)
 _CODE = re.compile(r"[{}()\[\]=<>$&|^~`]|::|->|;\s*$|\w_\w*\.|^\s*(import|from|with|def|class|func|fn|let|const|var|return|raise|assert|if|for|while|static|export|#define|public|private|else|try|catch|switch|case|package|use|struct|type|enum|#include|//|/\*|#)\b")
-_VOWELS = re.compile(r"[aeiouyäöüáéíóúàâèêëîïôùûœ]", re.I)
+_LATIN = re.compile(r"[a-zà-öø-ɏ]", re.I)
+_VOWELS = re.compile(r"[aeiouyà-æè-ïò-öøù-üýÿāăąēĕėęěĩīĭįıōŏőœũūŭůűųŷ]", re.I)
+
+
+def _is_letter(c: str) -> bool:
+    """Letters of any script, with the marks that belong to them."""
+    return c.isalpha() or (c > "\u02ff" and unicodedata.category(c)[0] == "M")
+
+
+def common_share(words: list[str], lang: str) -> float:
+    """Share of the words that are frequent function words of the language; where it is not known, of the one that fits best."""
+    if not words:
+        return 0.0
+    lists = [_COMMON[lang]] if lang in _COMMON else _COMMON.values()
+    return max(sum(w in known for w in words) for known in lists) / len(words)
 
 
 def _is_junk(s: str) -> bool:
@@ -55,7 +72,7 @@ def _is_junk(s: str) -> bool:
     if solid and sum(map(len, solid)) >= 0.5 * n:
         return True
     letters = sum(c.isalpha() for c in s)
-    odd = sum(1 for c in s if ord(c) > 126 and not c.isalpha() or c in "ÃÂÐÑÅâï")
+    odd = sum(1 for c in s if ord(c) > 126 and not _is_letter(c) or c in "ÃÂÐÑÅâï")
     if n >= 12 and odd >= 0.15 * n and not any(c in "│•·–—─┼" for c in s[:8]):
         return True
     if n >= 20:
@@ -64,11 +81,9 @@ def _is_junk(s: str) -> bool:
             return True
         if n >= 160 and symbols >= 0.22 * n and s.count(" ") < 0.04 * n:
             return True
-        plain = WORD.findall(s)
-        if letters >= 0.6 * n and len(plain) >= 3:
-            vowels = len(_VOWELS.findall(s))
-            if vowels < 0.2 * letters:
-                return True
+        latin = len(_LATIN.findall(s))
+        if latin >= 0.6 * n and len(WORD.findall(s)) >= 3 and len(_VOWELS.findall(s)) < 0.2 * latin:
+            return True
     return False
 
 
@@ -140,7 +155,7 @@ def line_kinds(text: str) -> tuple[dict[str, int], int]:
             kind = "other"
         elif _PAIR.match(b) and len(b.split(":", 1)[0].split()) <= 2 and len(b.split(":", 1)[1].split()) <= 3:
             kind = "list"
-        elif sum(c.isalpha() or c.isspace() for c in b) >= 0.75 * len(b):
+        elif sum(_is_letter(c) or c.isspace() for c in b) >= 0.75 * len(b):
             kind = "text"
         if kind != "list":
             item_indent = -1
@@ -159,7 +174,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     schema = "doc_id bigint, lang string, n_words bigint, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, text_share double, list_share double, table_share double, junk_share double"
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def one(text: str | None) -> tuple:
+    def one(text: str | None, lang: str) -> tuple:
         text = text or ""
         words = WORD.findall(text.lower())
         lines = [x.rstrip() for x in text.split("\n") if x.strip()]
@@ -170,12 +185,12 @@ def document_statistics(docs: DataFrame) -> DataFrame:
         return (
             len(words), round(letters / len(words), 4) if words else 0.0, round((solid - letters) / solid, 4) if solid else 0.0,
             round(sum(x[-1] in ".!?:;,…。" for x in lines) / len(lines), 4) if lines else 0.0,
-            round(sum(w in _ANY_COMMON for w in words) / len(words), 4) if words else 0.0, share("text"), share("list"), share("table"), share("junk"),
+            round(common_share(words, lang), 4), share("text"), share("list"), share("table"), share("junk"),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = list(zip(*[one(t) for t in batch.column(2).to_pylist()])) or [[]] * (len(names) - 2)
+            cols = list(zip(*[one(t, g) for t, g in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())])) or [[]] * (len(names) - 2)
             kinds = [pa.int64()] + [pa.float64()] * (len(names) - 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names)
 
@@ -201,9 +216,10 @@ def text_quality(docs: DataFrame) -> DataFrame:
 
     Each statistic's tail probability is twice the smaller empirical-cumulative tail within the language, at most 1;
     the outlier score is minus the sum of their logarithms. ``kind`` is prose, list, table or junk if that kind of line
-    makes up SHARE of the characters and the document has LEAST_WORDS words, else NULL. Prose-like lines of a
-    document with hardly any common words are junk; where that is in doubt, the rank of its share of common
-    words within its language decides. Null and empty texts have zeros and no kind; empty in, empty out.
+    makes up SHARE of the characters and the document has LEAST_WORDS words, else NULL. Lines that look like prose count as
+    junk where the ranks say so: in a document whose outlier score exceeds OUTLIER while its share of common words is in the lowest
+    TAIL of its language and its mean word length or its symbol ratio in the highest. Ranks need no word list, so prose
+    in a language without one stays prose. Null and empty texts have zeros and no kind; empty in, empty out.
     """
     stats = stage(document_statistics(docs), "quality-stats").df
     ranks = stage(rank_table(stats), "quality-ranks").df
@@ -214,8 +230,8 @@ def text_quality(docs: DataFrame) -> DataFrame:
         r = F.broadcast(r) if small else r
         out = out.withColumn(f"v_{s}", F.col(s).cast("double")).join(r, ["lang", f"v_{s}"], "left")
         score = score - F.log(F.least(F.lit(1.0), 2 * F.least(f"low_{s}", f"high_{s}")))
-    words = F.col("common_words")
-    natural = (words >= 0.12) | ((words >= 0.03) & (F.col("low_common_words") > 0.1))
+    garbled = (score > OUTLIER) & (F.col("low_common_words") <= TAIL) & (F.least("high_mean_word_length", "high_symbol_ratio") <= TAIL)
+    natural = ~F.coalesce(garbled, F.lit(False))
     prose = F.when(natural, F.col("text_share")).otherwise(0.0)
     junk = F.col("junk_share") + F.when(natural, 0.0).otherwise(F.col("text_share"))
     kind = F.when(F.col("n_words") < LEAST_WORDS, None).when(prose >= SHARE, "prose").when(F.col("list_share") >= SHARE, "list").when(F.col("table_share") >= SHARE, "table").when(junk >= SHARE, "junk")
