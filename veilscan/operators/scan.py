@@ -122,7 +122,7 @@ def repetition(items: DataFrame, least: int = 3) -> DataFrame:
 
 def html_vectors(items: DataFrame) -> DataFrame:
     """(kind, id, vector, n, chars): hidden carriers in markup and how much text they hold."""
-    rows = items.filter("text LIKE '%<%' OR text LIKE '%content%'")
+    rows = items.filter("text RLIKE '(?i)<|aria-|data-|content'")  # each of the patterns holds one of these
     found = [F.struct(F.lit(v).alias("vector"), F.size(F.regexp_extract_all("text", F.lit(p), F.lit(1))).cast("bigint").alias("n"), F.length(F.array_join(F.regexp_extract_all("text", F.lit(p), F.lit(1)), "")).cast("bigint").alias("chars")) for v, p in C.HTML_VECTORS.items()]
     return rows.select("kind", "id", F.explode(F.array(*found)).alias("f")).select("kind", "id", "f.vector", "f.n", "f.chars").filter("n > 0")
 

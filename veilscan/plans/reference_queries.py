@@ -148,7 +148,7 @@ _add(
 )
 _add(
     "fragment_guard", lambda s, d: guards.fragment_sessions(table(s, d, "trap"), "trap_id", "fragments"),
-    f"SELECT trap_id, CAST(len(fragments) AS BIGINT) AS n_fragments, {any_sql(C.FRAGMENT_RULES, 'coalesce(array_to_string(fragments, chr(32)), chr(0))')} AS together, {any_sql(C.FRAGMENT_RULES, 'coalesce(array_to_string(fragments, chr(10) || chr(10) || chr(10)), chr(0))')} AS apart FROM trap WHERE fragments IS NOT NULL",
+    f"SELECT trap_id, CAST(len(fragments) AS BIGINT) AS n_fragments, {any_sql(C.FRAGMENT_RULES, 'coalesce(array_to_string(fragments, chr(32)), chr(0))')} AS together, CAST(" + " + ".join(f"CASE WHEN len(list_filter(fragments, lambda x: regexp_matches(x, {quoted(p)}))) > 0 THEN 1 ELSE 0 END" for p in C.FRAGMENT_RULES) + " AS INTEGER) AS apart FROM trap WHERE fragments IS NOT NULL",
 )
 _cat = "lower(replace(trim(category), '-', '_'))"
 
@@ -159,8 +159,8 @@ def _battery(s: SparkSession, d: str) -> DataFrame:
     caught = scan.findings(traps).select("id").union(scan.injection_categories(traps).select("id")).distinct().withColumn("caught", F.lit(1))
     one = table(s, d, "trap").groupBy(F.col("trap_id").alias("id")).agg(F.max(F.expr(_cat)).alias("category"), F.max("difficulty").alias("difficulty"))
     rows = one.join(caught, "id", "left").withColumn("caught", F.coalesce("caught", F.lit(0)))
-    rows.createOrReplaceTempView("_veilscan_battery")
-    return s.sql("SELECT category, difficulty, count(*) AS n, sum(caught) AS n_caught, round(avg(caught), 6) AS rate FROM _veilscan_battery GROUP BY GROUPING SETS ((category), (difficulty), ())")
+    sets = rows.groupingSets([[F.col("category")], [F.col("difficulty")], []], "category", "difficulty")
+    return sets.agg(F.count("*").alias("n"), F.sum("caught").alias("n_caught"), F.round(F.avg("caught"), 6).alias("rate"))
 
 
 _trap_hits = f"SELECT id FROM ({_ALL}) WHERE kind = 'trap' UNION SELECT id FROM h WHERE kind = 'trap'"
