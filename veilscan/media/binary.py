@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilscan.media.pixels import statistics, twin_colours
+
 #: File signatures.
 SIGNATURES = {
     "png": b"\x89PNG\r\n\x1a\n", "jpeg": b"\xff\xd8\xff", "gif": b"GIF8", "pdf": b"%PDF-", "zip": b"PK\x03\x04", "gzip": b"\x1f\x8b\x08", "rar": b"Rar!\x1a\x07", "7z": b"7z\xbc\xaf\x27\x1c",
@@ -25,6 +27,8 @@ def sniff(data: bytes) -> str:
     for name, magic in SIGNATURES.items():
         if data.startswith(magic):
             return name
+    if data[257:262] == b"ustar":
+        return "tar"
     try:
         data[:1000].decode("utf-8")
         return "text"
@@ -86,7 +90,7 @@ def png_pixels(chunks: list[tuple[str, bytes]]) -> np.ndarray | None:
         return None
     w, h, depth, color, _, _, lace = struct.unpack(">IIBBBBB", head[:13])
     ch = {0: 1, 2: 3, 4: 2, 6: 4}.get(color)
-    if depth != 8 or lace or not ch or w * h * ch > 64_000_000:
+    if depth != 8 or lace or not ch:
         return None
     try:
         raw = np.frombuffer(zlib.decompress(b"".join(d for k, d in chunks if k == "IDAT")), np.uint8)
@@ -155,6 +159,8 @@ def findings_of(data: bytes) -> list[tuple[str, int, float, str]]:
                 out.append(("png_large_text", 2, 0.6, f"{c}, {len(d)} bytes"))
         if (pixels := png_pixels(chunks)) is not None:
             out += [x for ch in range(pixels.shape[2]) for x in _lsb(pixels[:, :, ch], f"channel {ch}")]
+        if "PLTE" in dict(chunks) and (twins := twin_colours(dict(chunks)["PLTE"])) > 5:
+            out.append(("palette_twins", 3 if twins > 20 else 2, round(min(0.8, 0.4 + 0.02 * twins), 4), f"{twins} pairs"))
     elif kind == "jpeg" and (end := data.rfind(b"\xff\xd9")) > 0 and len(data) - end - 2 > 10:
         out.append(("jpeg_after_end", 4, 0.9, f"{len(data) - end - 2} bytes after the end marker"))
     elif kind == "gif" and (end := data.rfind(b"\x3b")) > 0 and len(data) - end - 1 > 10:
@@ -172,6 +178,41 @@ def findings_of(data: bytes) -> list[tuple[str, int, float, str]]:
         for bit, what in ((4, "extra field"), (16, "comment")):
             if flags & bit:
                 out.append(("gzip_field", 3, 0.8, what))
+    elif kind == "sqlite" and len(data) >= 100:
+        page = struct.unpack(">H", data[16:18])[0]
+        page = 65536 if page == 1 else page
+        pages, free = struct.unpack(">I", data[28:32])[0], struct.unpack(">I", data[36:40])[0]
+        if free:
+            out.append(("sqlite_free_pages", 2, 0.6, f"{free} free pages"))
+        if page and len(data) > page * pages > 0:
+            out.append(("sqlite_trailing", 3, 0.85, f"{len(data) - page * pages} bytes after the last page"))
+    elif kind == "midi" and len(data) > 14:
+        at = 8 + struct.unpack(">I", data[4:8])[0]
+        while data[at : at + 4] == b"MTrk" and at + 8 <= len(data):
+            size = struct.unpack(">I", data[at + 4 : at + 8])[0]
+            exclusive = data.count(b"\xf0", at + 8, at + 8 + size)
+            if exclusive:
+                out.append(("midi_exclusive", 2, 0.6, f"{exclusive} system-exclusive events"))
+            at += 8 + size
+        if len(data) - at > 10:
+            out.append(("midi_trailing", 3, 0.85, f"{len(data) - at} bytes"))
+    elif kind == "pcap" and len(data) >= 24:
+        at = 24
+        while at + 16 <= len(data) and at + 16 + struct.unpack("<I", data[at + 8 : at + 12])[0] <= len(data):
+            at += 16 + struct.unpack("<I", data[at + 8 : at + 12])[0]
+        if len(data) - at > 10:
+            out.append(("pcap_trailing", 3, 0.8, f"{len(data) - at} bytes after the last packet"))
+    elif kind == "rtf":
+        if b"\\objdata" in data:
+            out.append(("rtf_object", 3, 0.8, f"{data.count(b'objdata')} embedded objects"))
+        if (end := data.rfind(b"}")) >= 0 and len(data) - end - 1 > 10:
+            out.append(("rtf_trailing", 3, 0.85, f"{len(data) - end - 1} bytes after the document"))
+    elif kind == "tar":
+        at = 0
+        while at + 512 <= len(data) and data[at : at + 512].strip(b"\0"):
+            at += 512 + -(-int(data[at + 124 : at + 136].strip(b"\0 ") or b"0", 8) // 512) * 512
+        if data[at:].strip(b"\0"):
+            out.append(("tar_trailing", 3, 0.85, f"{len(data[at:].strip(bytes(1)))} bytes after the last member"))
     elif kind == "riff" and len(data) > 44:
         chunks, rest = wav_chunks(data)
         if rest > 10:
@@ -203,6 +244,21 @@ def scan_binary(files: DataFrame, most_bytes: int = 50 * 1024 * 1024) -> DataFra
     return small.unionByName(large)
 
 
+def image_statistics(files: DataFrame) -> DataFrame:
+    """Findings from the pixels of the PNG files among (path, content) rows, channel by channel; other files and formats give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                pixels = png_pixels(png_chunks(data)[0])
+                rows += [(p, *x) for x in statistics(pixels)] if pixels is not None else []
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["path", "detector", "severity", "confidence", "evidence"])
+
+    return files.filter(F.startswith("content", F.lit(SIGNATURES["png"]))).select("path", "content").mapInArrow(run, FOUND)
+
+
 def clean_wav(data: bytes, seed: int = 0) -> bytes:
     """A minimal copy: format and samples only, lowest bits drawn anew."""
     form = dict(wav_chunks(data)[0])
@@ -220,9 +276,19 @@ def clean_png(data: bytes, seed: int = 0) -> bytes | None:
     if pixels is None:
         return None
     noise = np.random.default_rng(seed).integers(0, 2, pixels.shape, dtype=np.uint8)
-    fresh = (pixels & 0xFE) | noise
-    raw = np.concatenate([np.zeros((fresh.shape[0], 1), np.uint8), fresh.reshape(fresh.shape[0], -1)], 1).tobytes()
+    return write_png((pixels & 0xFE) | noise, dict(chunks[:1])["IHDR"])
+
+
+def write_png(pixels: np.ndarray, head: bytes | None = None) -> bytes:
+    """A PNG file of (height, width, channels) bytes, without filters."""
+    h, w, ch = pixels.shape
+    head = head or struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[ch], 0, 0, 0)
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), pixels.reshape(h, -1)], 1).tobytes()
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
-    return SIGNATURES["png"] + chunk(b"IHDR", dict(chunks[:1])["IHDR"]) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    return SIGNATURES["png"] + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def write_wav(samples: np.ndarray) -> bytes:
+    """A WAV file of 16-bit samples, one channel."""
+    body = samples.astype("<i2").tobytes()
+    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", len(body)) + body

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import quopri
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,24 +65,58 @@ def _shift(text: str, n: int) -> str:
     return text.translate(str.maketrans(_ABC + _ABC.upper(), turned + turned.upper()))
 
 
+@lru_cache(maxsize=4096)
+def _rail_order(n: int, rails: int) -> np.ndarray:
+    at = np.arange(n) % (2 * rails - 2)
+    return np.argsort(np.minimum(at, 2 * rails - 2 - at), kind="stable")
+
+
+@lru_cache(maxsize=4096)
+def _column_order(n: int, width: int) -> np.ndarray:
+    return np.argsort(np.arange(n) % width, kind="stable")
+
+
+def _unplaced(text: str, order: np.ndarray) -> str:
+    """The text whose characters, taken in this order, are the given ones."""
+    given = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = np.empty_like(given)
+    out[order] = given
+    return out.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def _unrail(text: str, rails: int) -> str:
-    order = sorted(range(len(text)), key=lambda i: (min(i % (2 * rails - 2), -i % (2 * rails - 2)), i))
-    out = [""] * len(text)
-    for c, i in zip(text, order):
-        out[i] = c
-    return "".join(out)
+    return _unplaced(text, _rail_order(len(text), rails))
 
 
 def _uncolumn(text: str, width: int) -> str:
-    rows = -(-len(text) // width)
-    full = len(text) - (rows - 1) * width
-    out, at = [[""] * width for _ in range(rows)], 0
-    for c in range(width):
-        n = rows if c < full else rows - 1
-        for r in range(n):
-            out[r][c] = text[at + r]
-        at += n
-    return "".join("".join(r) for r in out)
+    return _unplaced(text, _column_order(len(text), width))
+
+
+#: Stems of which a critical rule needs one at least: what a plain text without them hides is no injection.
+STEMS = ("instruction", "rule", "prompt", "guideline", "directive", "constraint", "context", "filter", "polic", "jailbreak", "anything", "unrestricted", "dan")
+_STEM = re.compile(r"instruction|rule|prompt|guideline|directive|constraint|context|filter|polic|jailbreak|anything|unrestricted|\bdan\b")
+#: By how far a text is shifted back, the stems as they stand in it.
+_SHIFTED = [(n, re.compile("|".join(rf"\b{_shift(s, 26 - n)}\b" if s == "dan" else _shift(s, 26 - n) for s in STEMS))) for n in range(1, 26)]
+_MIRROR = str.maketrans(_ABC + _ABC.upper(), _ABC[::-1] + _ABC[::-1].upper())
+_MIRRORED = re.compile("|".join(rf"\b{s.translate(_MIRROR)}\b" if s == "dan" else s.translate(_MIRROR) for s in STEMS))
+_LETTERS = np.frombuffer(bytes(c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,;:!?\'\n" for c in range(256)), bool)
+
+
+def _xored(raw: bytes) -> Iterator[bytes]:
+    """The bytes under each single-byte key that leaves nearly nothing but letters, blanks and marks."""
+    data = np.frombuffer(raw, np.uint8)
+    for key in range(1, 256):
+        plain = data ^ key
+        if _LETTERS[plain].mean() > 0.9:
+            yield plain.tobytes()
+
+
+def _unuu(text: str) -> Iterator[bytes]:
+    for block in re.findall(r"(?m)^begin \d{3} .*\n((?:.+\n)+?)`?\n?end", text):
+        try:
+            yield b"".join(binascii.a2b_uu(line) for line in block.splitlines())
+        except binascii.Error:
+            pass
 
 
 def _bytes_layers(text: str) -> Iterator[tuple[str, bytes]]:
@@ -87,15 +125,28 @@ def _bytes_layers(text: str) -> Iterator[tuple[str, bytes]]:
             yield "base32", base64.b32decode(token + "=" * (-len(token) % 8))
         except (ValueError, binascii.Error):
             pass
-    for token in re.findall(r"[A-Za-z0-9+/]{20,}={0,2}", text)[:200]:
+    for token in re.findall(r"[A-Za-z0-9+/]{20,}={0,2}", text):
         try:
-            yield "zlib", zlib.decompress(base64.b64decode(token + "=" * (-len(token) % 4)))
-        except (ValueError, zlib.error, binascii.Error):
-            pass
+            raw = base64.b64decode(token + "=" * (-len(token) % 4))
+        except (ValueError, binascii.Error):
+            continue
+        try:
+            yield "zlib", zlib.decompress(raw)
+        except zlib.error:
+            yield "base64_rot13", codecs.encode(raw.decode("latin-1"), "rot13").encode()
+    for token in re.findall(r"\b(?:[0-9a-fA-F]{2}[ \n]?){12,}\b", text):
+        for plain in _xored(bytes.fromhex(re.sub(r"\s", "", token))):
+            yield "hex_xor", plain
+    numbers = re.findall(r"&#(x?[0-9a-fA-F]+);", text)
+    if len(numbers) >= 3:
+        yield "entities", unescape(text).encode("utf-8", "surrogatepass")
+        yield "entities_joined", "".join(unescape(f"&#{x};") for x in numbers).encode("utf-8", "surrogatepass")
+    for plain in _unuu(text):
+        yield "uuencode", plain
     if text.count("=") >= 3:
-        yield "quoted_printable", quopri.decodestring(text.encode())
+        yield "quoted_printable", quopri.decodestring(text.encode("utf-8", "surrogatepass"))
     for name, codec in (("ascii85", base64.a85decode), ("base85", base64.b85decode)):
-        for token in re.findall(r"\S{20,}", text)[:200]:
+        for token in re.findall(r"\S{20,}", text):
             try:
                 yield name, codec(token)
             except (ValueError, binascii.Error):
@@ -103,13 +154,15 @@ def _bytes_layers(text: str) -> Iterator[tuple[str, bytes]]:
 
 
 def heavy_layers(text: str) -> Iterator[tuple[str, str]]:
-    """Every decoding that is tried on a text: ciphers on short texts, codecs on any."""
-    if 12 <= len(text) <= 4000:
-        yield "atbash", text.translate(str.maketrans(_ABC + _ABC.upper(), _ABC[::-1] + _ABC[::-1].upper()))
-        for n in range(1, 26):
-            yield f"caesar_{n}", _shift(text, n)
+    """Every reading of a text, whole, that holds a stem of a critical rule: ciphers and codecs."""
+    low = text.lower()
+    if len(text) >= 12:
+        if _MIRRORED.search(low):
+            yield "atbash", text.translate(_MIRROR)
+        for n, stems in _SHIFTED:
+            if stems.search(low):
+                yield f"caesar_{n}", _shift(text, n)
         yield "words_reversed", " ".join(text.split()[::-1])
-    if 12 <= len(text) <= 2000:
         for n in (2, 3, 4):
             yield f"rail_{n}", _unrail(text, n)
         for n in range(2, 7):
@@ -131,7 +184,7 @@ def heavy_injection(items: DataFrame) -> DataFrame:
             for kind, i, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 low = (text or "").lower()
                 for method, plain in heavy_layers(text or ""):
-                    if ("instruction" in plain.lower() or "prompt" in plain.lower() or "rules" in plain.lower()) and plain.lower() != low:
+                    if plain.lower() != low and _STEM.search(plain.lower()):
                         out += [(kind, i, method, c) for c, p in rules if p.search(plain)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["kind", "id", "method", "category"])
 

@@ -119,7 +119,7 @@ class _Walker:
 def occurrences(reports: DataFrame) -> DataFrame:
     """Every occurrence of every object: bridge columns (report, parent, ordinal) plus its Merkle id and body.
 
-    ``reports`` has report_id and body (JSON text). Bodies that are null, cut off or not objects give no rows.
+    ``reports`` has report_id and body (JSON text). Bodies that are null, cut off, not objects, or nested deeper than the parser goes (thousands of levels) give no rows.
     Nulls in arrays keep their position; a lone object in a field that mostly holds arrays is element 0; a string
     of JSON counts as its value only in fields that elsewhere hold an object or an array. The report itself is the
     row with path ``report`` and no parent; an object that is no array element has no ordinal. The parent is the nearest
@@ -134,7 +134,10 @@ def occurrences(reports: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for rid, text in zip(pdf["report_id"], pdf["body"]):
                 if (record := _read(text)) is not None and not pd.isna(rid):
-                    rows += walk.report(int(rid), record)
+                    try:
+                        rows += walk.report(int(rid), record)
+                    except RecursionError:
+                        continue
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -164,8 +167,10 @@ def objects(found: DataFrame) -> DataFrame:
 
 
 def full_objects(found: DataFrame) -> DataFrame:
-    """Identical objects once, reports and plain nested objects too."""
-    return found.groupBy("object_id").agg(F.first("body").alias("body"), F.count("*").alias("n_occurrences"), F.countDistinct("report_id").alias("n_reports"))
+    """Identical objects once, reports and plain nested objects too; a place of a report counts once, however often it is delivered."""
+    places = found.groupBy("object_id", "report_id", "path").agg(F.first("body").alias("body"))
+    by_report = places.groupBy("object_id", "report_id").agg(F.first("body").alias("body"), F.count("*").alias("n"))
+    return by_report.groupBy("object_id").agg(F.first("body").alias("body"), F.sum("n").alias("n_occurrences"), F.count("*").alias("n_reports"))
 
 
 def _scalars(field: str, value) -> Iterator[tuple[str, str | None, str]]:

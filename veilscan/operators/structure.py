@@ -14,24 +14,23 @@ from pyspark.sql import functions as F
 #: Words in key names that point at a hidden channel.
 ODD_KEYS = ("hidden", "secret", "payload", "covert", "steg", "encoded", "exfil", "backdoor")
 _UUID = re.compile(r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", re.I)
-MOST_DEPTH = 20
-
-
-def _leaves(value, path: str = "$", depth: int = 0) -> Iterator[tuple[str, str, str]]:
-    if depth > MOST_DEPTH:
-        return
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from _leaves(v, f"{path}.{k}", depth + 1)
-    elif isinstance(value, list):
-        if len(value) >= 10 and all(isinstance(x, int) and not isinstance(x, bool) and 0 <= x < 256 for x in value):
-            text = "".join(map(chr, value))
-            if sum(c.isprintable() for c in text) > 0.7 * len(text):
-                yield path, "numeric_channel", text
-        for i, v in enumerate(value):
-            yield from _leaves(v, f"{path}[{i}]", depth + 1)
-    elif isinstance(value, str):
-        yield path, "string", value
+
+
+def _leaves(top) -> Iterator[tuple[str, str, str]]:
+    """(path, leaf, value) of every text leaf and byte list, in document order, however deep."""
+    todo = [("$", top)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            todo.extend((f"{path}.{k}", v) for k, v in reversed(value.items()))
+        elif isinstance(value, list):
+            if len(value) >= 10 and all(isinstance(x, int) and not isinstance(x, bool) and 0 <= x < 256 for x in value):
+                text = "".join(map(chr, value))
+                if sum(c.isprintable() for c in text) > 0.7 * len(text):
+                    yield path, "numeric_channel", text
+            todo.extend((f"{path}[{i}]", v) for i, v in reversed(list(enumerate(value))))
+        elif isinstance(value, str):
+            yield path, "string", value
 
 
 def json_leaves(items: DataFrame) -> DataFrame:

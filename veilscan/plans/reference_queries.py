@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.functions import catalog as C
-from veilscan.media import binary
 from veilscan.ml import classifier
 from veilscan.operators import decode, guards, scan, structure
-from veilscan.session import spread, table
+from veilscan.session import spread, stage, table
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -191,13 +190,13 @@ _add("encoded_injection", lambda s, d: decode.encoded_injection(items(s, d)))
 _add("heavy_injection", lambda s, d: decode.heavy_injection(items(s, d)))
 _add("json_leaves", lambda s, d: structure.json_leaves(items(s, d)))
 _add("json_sanitize", lambda s, d: structure.sanitized_json(items(s, d)))
-_add("binary_scan", lambda s, d: binary.scan_binary(items(s, d).filter("text IS NOT NULL").select(F.concat_ws("/", "kind", "id").alias("path"), F.col("text").cast("binary").alias("content"))))
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
     """A classifier fitted on the training split, scored on the held-out ones."""
-    rows = table(s, d, "labelled_text").filter("label IN (0, 1) AND text IS NOT NULL").select(F.lit("sample").alias("kind"), F.col("sample_id").alias("id"), "text", F.col("label").cast("double").alias("y"), F.lower(F.trim("split")).startswith("train").alias("is_train"))
-    rows = classifier.with_features(spread(rows.filter("is_train IS NOT NULL").dropDuplicates(["id"])))
+    rows = table(s, d, "labelled_text").filter("label IN (0, 1) AND text IS NOT NULL").select(F.lit("sample").alias("kind"), F.col("sample_id").alias("id"), "text", F.col("label").cast("double").alias("y"), F.lower(F.trim("split")).startswith("train").alias("is_train"), F.col("ingested_at").alias("at"))
+    latest = rows.filter("is_train IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("kind", "text", "y", "is_train"), F.struct("at", "text", "y")).alias("r"))
+    rows = stage(classifier.with_features(spread(latest.select("id", "r.*"))), "classifier-rows").df  # read by every pass of the fit
     return classifier.score(classifier.train(rows.filter("is_train")), rows.filter("NOT is_train"))
 
 

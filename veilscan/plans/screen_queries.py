@@ -5,10 +5,15 @@ The test tables hold few hidden channels, so some queries put a known text befor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.functions import catalog as C
+from veilscan.media import binary
 from veilscan.operators import channels, guards, markup, rag, scan, variants
 from veilscan.plans.reference_queries import ITEMS_SQL, Q, any_sql, items, n_sql, quoted
 from veilscan.session import table
@@ -171,6 +176,41 @@ _add(
     "SELECT trap_id, reason, CASE reason WHEN 'destructive' THEN 0.9e0 WHEN 'network' THEN 0.7e0 WHEN 'spawn' THEN 0.8e0 WHEN 'rate' THEN 0.6e0 WHEN 'injected_argument' THEN 0.8e0 ELSE 0e0 END AS risk, reason IS NULL AS allowed FROM v",
 )
 
+
+
+def _media_case(i: int) -> bytes:
+    """File number i: of every ten one of each make, with and without a hidden part."""
+    y, x = np.mgrid[0:96, 0:96]
+    smooth = np.stack([(y + x) // 2, y, x], 2).astype(np.uint8) // 2 * 2
+    tone = (np.sin(np.arange(8000) / (900 + i)) * 9000).astype(np.int16) // 4 * 4
+    bits = np.random.default_rng(i).integers
+    image, sound = binary.write_png(smooth), binary.write_wav(tone)
+    makes = (
+        image, image + b"x" * (20 + i), binary.write_png(smooth | bits(0, 2, smooth.shape, dtype=np.uint8)), sound, sound + b"z" * (40 + i), binary.write_wav(tone | bits(0, 2, len(tone), dtype=np.int16)),
+        image + b"PK\x03\x04" + b"a" * 30, b"%PDF-1.4 /JavaScript %%EOF", b"GIF89a" + b"\0" * 10 + b"\x3b" + b"q" * 20, b"plain text %d" % i,
+    )
+    return makes[i % 10]
+
+
+def _media_files(spark: SparkSession, n: int = 200) -> DataFrame:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([f"case-{i}" for i in ids]), pa.array([_media_case(i) for i in ids], pa.binary())], ["path", "content"])
+
+    return spark.range(n).mapInArrow(make, "path string, content binary")
+
+
+_add(
+    "media_cases", lambda s, d: binary.scan_binary(_media_files(s)).groupBy("path", "detector").agg(F.max("severity").alias("severity")),
+    "WITH w AS (SELECT * FROM (VALUES (1, 'png_after_end', 4), (2, 'lsb_pairs', 3), (4, 'wav_trailing', 3), (5, 'wav_lsb', 2), (6, 'png_after_end', 4), (6, 'polyglot', 4), (7, 'pdf_active', 3), (8, 'gif_after_end', 4)) AS v(m, detector, severity))"
+    " SELECT 'case-' || i AS path, detector, CAST(severity AS INTEGER) AS severity FROM range(200) AS r(i) JOIN w ON i % 10 = m",
+)
+_add(
+    "media_bit_planes", lambda s, d: binary.image_statistics(_media_files(s)).filter("detector = 'bit_plane'").select("path").distinct(),
+    "SELECT 'case-' || i AS path FROM range(200) AS r(i) WHERE i % 10 = 2",
+)
+
 # What SQL cannot say over whole tables (look-around, parsing): tested on small fixtures.
 _add("injected_readings", lambda s, d: variants.injected_readings(items(s, d)))
 _add("hidden_markup", lambda s, d: markup.hidden_markup(items(s, d)))
