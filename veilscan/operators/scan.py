@@ -44,6 +44,33 @@ def findings(items: DataFrame, detectors: list[C.Detector] | None = None) -> Dat
     return rows.select("kind", "id", "seq", "f.detector", "f.method", "f.severity", "f.confidence")
 
 
+def finding_details(items: DataFrame, detectors: list[C.Detector] | None = None) -> DataFrame:
+    """``findings`` with what they rest on: (kind, id, detector, method, severity, confidence, description, evidence, location, metadata).
+
+    The evidence is the code points of the first five matches, the location the place of the first (from 0), the metadata the
+    detector's counts by name. Null texts give none.
+    """
+    detectors = C.DETECTORS if detectors is None else detectors
+    t, hits = F.col("text"), []
+    rows = items.filter("text IS NOT NULL").select("kind", "id", "text", F.octet_length("text").alias("_bytes"))
+    wide = F.col("_bytes") > F.length("text")
+    for d in detectors:
+        counts = {n: count_of(t, p) for n, p in d.counts.items()}
+        main = next(iter(d.counts.values()))
+        points = F.transform(F.slice(F.regexp_extract_all(t, F.lit(main), F.lit(0)), 1, 5), lambda m: F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: F.length(c) > 0), lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), 4, "0"))), " "))
+        table = F.create_map(*[x for n, c in counts.items() for x in (F.lit(n), c)])
+        hits.append((d, wide if d.wide else F.lit(True), F.struct(*[c.alias(n) for n, c in counts.items()], points.alias("points"), (F.instr(t, F.regexp_extract(t, main, 0)) - 1).alias("at"), table.alias("metadata"))))
+    out = None
+    for d, may, counted in hits:
+        part = rows.filter(may).select("kind", "id", counted.alias("c")).select("kind", "id", "c.*").filter(d.where)
+        part = part.select(
+            "kind", "id", F.lit(d.name).alias("detector"), F.lit(d.method).alias("method"), F.expr(f"CAST({d.severity} AS INT)").alias("severity"), F.expr(f"CAST(round(CAST({d.confidence} AS DOUBLE), 4) AS DOUBLE)").alias("confidence"),
+            F.concat(F.col(next(iter(d.counts))).cast("string"), F.lit(" of "), F.lit(d.method)).alias("description"), F.array_join("points", "; ").alias("evidence"), F.col("at").cast("bigint").alias("location"), "metadata",
+        )
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def _rename(sql: str, names: dict[str, str]) -> str:
     import re
 
@@ -67,6 +94,20 @@ def sanitized(text: Column) -> Column:
     return F.regexp_replace(out, f"({C.COMBINING}{{2}}){C.COMBINING}+", "$1")
 
 
+def sanitized_aggressive(text: Column) -> Column:
+    """``sanitized``, and mathematical letters to plain ones, braille and skin tones stripped, one mark a letter."""
+    out = F.translate(sanitized(text), C.MATH_FROM, C.MATH_TO)
+    for p in (C.MATH, C.BRAILLE, C.SKIN):
+        out = F.regexp_replace(out, p, "")
+    return F.regexp_replace(out, f"({C.COMBINING}){C.COMBINING}+", "$1")
+
+
+def sanitized_layout(text: Column) -> Column:
+    """Line ends to \\n, no blanks before them, at most one empty line in a row."""
+    lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[ \t\x0B\f]+\n", "\n")
+    return F.regexp_replace(F.regexp_replace(lines, r"[ \t\x0B\f]+\z", ""), "\n{3,}", "\n\n")
+
+
 def injection_categories(items: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """(kind, id, category, severity) of each item: rules that match, and one more row of multi_vector at three categories.
 

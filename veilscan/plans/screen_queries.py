@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from veilscan.functions import catalog as C
 from veilscan.media import binary
-from veilscan.operators import channels, guards, markup, rag, scan, variants
+from veilscan.operators import channels, guards, markup, rag, review, scan, variants
 from veilscan.plans.reference_queries import ITEMS_SQL, Q, any_sql, items, n_sql, quoted
 from veilscan.session import table
+from veilscan.sources import routing
 
 QUERIES: dict[str, Q] = {}
 ORACLES: dict[str, str] = {}
@@ -211,6 +212,44 @@ _add(
     "SELECT 'case-' || i AS path FROM range(200) AS r(i) WHERE i % 10 = 2",
 )
 
+_JARGON = f"CAST(len(regexp_extract_all({{0}}, {quoted(C.JARGON)})) AS DOUBLE)"
+_UNFIT = " + ".join(f"len(list_filter(a, lambda x: {' OR '.join(f'contains(x, {quoted(w)})' for w in ws)}))" for ws in C.UNFIT_ACTIONS.values())
+_PAIRS = " + ".join(f"CASE WHEN len(list_filter(a, lambda x: contains(x, {quoted(x)}))) > 0 AND len(list_filter(a, lambda x: contains(x, {quoted(y)}))) > 0 THEN 1 ELSE 0 END" for x, y in C.CONFLICTS)
+
+
+def _proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Each trap as an output put up for approval: its task asks to review, its actions are its techniques and two of its own."""
+    more = F.array(F.lit("read_file"), F.when(F.col("trap_id") % 3 == 0, "delete_file").when(F.col("trap_id") % 3 == 1, "send_email").otherwise("list"))
+    none = F.array().cast("array<string>")
+    return table(spark, d, "trap").select("trap_id", "payload", F.concat(F.lit("review "), F.coalesce("target_query", F.lit(""))).alias("task"), F.concat(F.coalesce("techniques", none), more).alias("actions"))
+
+
+_add(
+    "approval_review", lambda s, d: review.review(_proposals(s, d), "trap_id", "payload", "task", "actions").drop("complexity"),
+    "WITH p AS (SELECT trap_id, coalesce(payload, '') AS o, 'review ' || lower(coalesce(target_query, '')) AS k, list_distinct(list_transform(list_filter(list_concat(coalesce(techniques, []), ['read_file', CASE trap_id % 3 WHEN 0 THEN 'delete_file' WHEN 1 THEN 'send_email' ELSE 'list' END]), lambda x: x IS NOT NULL), lambda x: lower(x))) AS a FROM trap), "
+    + r"m AS (SELECT *, len(regexp_extract_all(o, '\S+')) AS n, length(regexp_replace(o, '\s+', '', 'g')) AS ch, greatest(len(list_filter(regexp_split_to_array(o, '[.!?]+'), lambda x: regexp_matches(x, '\S'))), 1) AS st, len(regexp_extract_all(k, '\S+')) AS kn FROM p), "
+    + f"c AS (SELECT *, CASE WHEN n >= 10 THEN least({_JARGON.format('o')} / n * 5 + greatest(ch * 1e0 / n - 5, 0e0) * 0.2e0 + greatest(n * 1e0 / st - 20, 0e0) * 0.02e0, 1e0) ELSE 0e0 END AS c, CASE WHEN kn > 3 THEN least({_JARGON.format('k')} / kn * 5, 1e0) END AS t FROM m), "
+    + f"r AS (SELECT trap_id, c > 0.7e0 OR coalesce(c - t > 0.4e0, false) AS camouflaged, CAST({_UNFIT} AS BIGINT) AS mismatches, CAST({_PAIRS} AS BIGINT) AS conflicts, CAST(len(regexp_extract_all(o, {quoted(C.LINK)})) AS BIGINT) AS n_links, CAST(len(list_filter(regexp_extract_all(o, {quoted(C.LINK)}), lambda x: regexp_matches(x, {quoted(C.SHORTENED)}))) AS BIGINT) AS bad_links FROM c) "
+    + "SELECT *, CASE WHEN mismatches > 0 THEN 'high' WHEN camouflaged OR conflicts > 0 OR bad_links > 0 THEN 'medium' ELSE 'low' END AS risk FROM r",
+)
+_add(
+    "approval_fatigue", lambda s, d: review.approval_fatigue(table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), ((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 60_000_000_000).alias("minutes")), "n", "minutes").select("user_id", "n", "rate", "fatigue"),
+    "WITH u AS (SELECT user_id, count(*) AS n, (max(epoch_us(ts)) - min(epoch_us(ts))) / 60000000000e0 AS m FROM events GROUP BY user_id) SELECT user_id, n, round(CASE WHEN m > 0 THEN n / greatest(m, 1e0) ELSE 0e0 END, 6) AS rate,"
+    " coalesce(CASE WHEN n >= 10 AND m > 0 THEN CASE WHEN n / greatest(m, 1e0) > 2 THEN 'high' END WHEN n >= 20 THEN 'medium' END, 'none') AS fatigue FROM u",
+)
+_add(
+    "sanitize_layout", lambda s, d: planted(s, d).filter("text IS NOT NULL").select("kind", "id", F.md5(scan.sanitized_layout(F.col("text"))).alias("clean_md5")),
+    PLANTED_SQL + r" SELECT kind, id, md5(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\v\f]+\n', chr(10), 'g'), '[ \t\v\f]+$', ''), '\n{3,}', chr(10) || chr(10), 'g')) AS clean_md5 FROM items WHERE text IS NOT NULL",
+)
+_FORMATS = "(VALUES (0, 'png', 'image'), (1, 'png', 'image'), (2, 'png', 'image'), (3, 'riff', 'audio'), (4, 'riff', 'audio'), (5, 'riff', 'audio'), (6, 'png', 'image'), (7, 'pdf', 'pdf'), (8, 'gif', 'image'), (9, 'text', 'text')) AS v(m, format, kind)"
+_add("file_kinds", lambda s, d: routing.routed(_media_files(s)).drop("text"), f"SELECT 'case-' || i AS path, format, kind FROM range(200) AS r(i) JOIN {_FORMATS} ON i % 10 = m")
+_add("file_reports", lambda s, d: routing.file_reports(_media_files(s)).select("path", "kind", "clean"), f"SELECT 'case-' || i AS path, kind, m IN (0, 3, 9) AS clean FROM range(200) AS r(i) JOIN {_FORMATS} ON i % 10 = m")
+_details = " UNION ALL ".join(
+    f"SELECT kind, id, {quoted(x.name)} AS detector, severity, confidence, strpos(text, regexp_extract(text, {quoted(next(iter(x.counts.values())))})) - 1 AS location FROM (SELECT kind, id, text, CAST({x.severity} AS INTEGER) AS severity, CAST(round(CAST({x.confidence} AS DOUBLE), 4) AS DOUBLE) AS confidence"
+    f" FROM (SELECT kind, id, text, {', '.join(f'{n_sql(p)} AS {n}' for n, p in x.counts.items())} FROM items WHERE text IS NOT NULL) WHERE {x.where})" for x in C.DETECTORS
+)
+_add("finding_details", lambda s, d: scan.finding_details(planted(s, d)).select("kind", "id", "detector", "severity", "confidence", "location"), f"{PLANTED_SQL} {_details}")
+
 # What SQL cannot say over whole tables (look-around, parsing): tested on small fixtures.
 _add("injected_readings", lambda s, d: variants.injected_readings(items(s, d)))
 _add("hidden_markup", lambda s, d: markup.hidden_markup(items(s, d)))
