@@ -19,8 +19,6 @@ SHARE, LEAST_WORDS = 0.7, 25
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words")
 #: Where prose-like lines are taken for garbled text.
 OUTLIER, TAIL = 12.0, 0.02
-#: The rank tables are broadcast up to this many rows (distinct values), and joined by shuffle beyond.
-BROADCAST_ROWS = 1_000_000
 
 #: Frequent function words of each language.
 COMMON = {
@@ -223,11 +221,9 @@ def text_quality(docs: DataFrame) -> DataFrame:
     """
     stats = stage(document_statistics(docs), "quality-stats").df
     ranks = stage(rank_table(stats), "quality-ranks").df
-    small = ranks.count() <= BROADCAST_ROWS
     out, score = stats, F.lit(0.0)
     for s in STATS:
         r = ranks.filter(F.col("stat") == s).select("lang", F.col("value").alias(f"v_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"))
-        r = F.broadcast(r) if small else r
         out = out.withColumn(f"v_{s}", F.col(s).cast("double")).join(r, ["lang", f"v_{s}"], "left")
         score = score - F.log(F.least(F.lit(1.0), 2 * F.least(f"low_{s}", f"high_{s}")))
     garbled = (score > OUTLIER) & (F.col("low_common_words") <= TAIL) & (F.least("high_mean_word_length", "high_symbol_ratio") <= TAIL)
