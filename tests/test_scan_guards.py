@@ -45,7 +45,7 @@ def test_clean_copies_have_no_hidden_channel_and_cleaning_is_idempotent(items):
 
 
 def test_reports_keep_clean_items(items):
-    rows = {(r.kind, r.id): r for r in scan.reports(items, scan.findings(items)).collect()}
+    rows = {(r.kind, r.id): r for r in scan.reports(items).collect()}
     assert len(rows) == len(PLANTS) + len(CLEAN)
     assert all(rows["c", i].clean for i in range(len(CLEAN)))
     assert rows["p", 0].highest_severity == 3

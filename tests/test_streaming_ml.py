@@ -57,3 +57,13 @@ def test_classifier_separates_and_thresholds_add_up(spark):
     table = classifier.thresholds(scored).collect()
     assert all(r.tp + r.fn == 50 for r in table) and max(r.f1 for r in table) > 0.95
     assert classifier.train(df, most=100).transform(df.withColumn("weight", F.lit(1.0))).count() == 300
+
+
+def test_metrics_against_all_pairs(spark):
+    rows = [(0.9, 1.0), (0.8, 0.0), (0.8, 1.0), (0.3, 0.0), (0.3, 0.0), (0.2, 1.0), (0.5, None)]
+    m = classifier.metrics(spark.createDataFrame(rows, "score double, y double")).first()
+    pos, neg = [s for s, y in rows if y == 1], [s for s, y in rows if y == 0]
+    auc = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p in pos for n in neg) / len(pos) / len(neg)
+    assert (m.tp, m.fp, m.fn, m.tn) == (2, 1, 1, 2) and abs(m.auc - auc) < 1e-6
+    one = classifier.metrics(spark.createDataFrame([(0.9, 1.0)], "score double, y double")).first()
+    assert one.auc is None and one.tp == 1

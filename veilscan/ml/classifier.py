@@ -53,3 +53,23 @@ def thresholds(scored: DataFrame, steps: int = 100) -> DataFrame:
     rows = bins.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum(F.col("n") - F.col("pos")).over(above), "all_pos": F.sum("pos").over(everything)})
     p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("all_pos")
     return rows.select((F.col("bin") / steps).alias("threshold"), "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / (p + r), 6).alias("f1"))
+
+
+def metrics(scored: DataFrame, at: float = 0.5, steps: int = 10_000) -> DataFrame:
+    """One row: tp, fp, fn, tn, precision, recall, f1 at the cut (taken to the nearest bin), and auc, the chance that a positive outscores a negative.
+
+    Scores are counted by ``steps`` bins before anything is ordered; ties in a bin count one half. Rows without a label do not
+    count; where a class is missing, auc is NULL.
+    """
+    rows = scored.filter("y IS NOT NULL AND score IS NOT NULL")
+    bins = rows.groupBy(F.least(F.floor(F.col("score") * steps), F.lit(steps - 1)).alias("bin")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most ``steps`` rows
+    bins = bins.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    yes = F.col("bin") >= round(at * steps)
+    n = lambda c, by: F.coalesce(F.sum(F.when(c, F.col(by)).otherwise(0)), F.lit(0)).cast("bigint")
+    one = bins.agg(
+        n(yes, "pos").alias("tp"), n(yes, "neg").alias("fp"), n(~yes, "pos").alias("fn"), n(~yes, "neg").alias("tn"),
+        F.round(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0)), 6).alias("auc"),
+    )
+    p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
+    return one.withColumns({"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(F.try_divide(2 * p * r, p + r), 6)})

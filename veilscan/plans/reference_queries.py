@@ -78,7 +78,7 @@ for _d in C.DETECTORS:
 _ALL = " UNION ALL ".join(f"SELECT kind, id, {quoted(d.name)} AS detector, {quoted(d.method)} AS method, severity, confidence FROM ({_detector_sql(d)})" for d in C.DETECTORS)
 _add("scan_findings", lambda s, d: scan.findings(items(s, d)).drop("seq"), f"{ITEMS_SQL} {_ALL}")
 _add(
-    "report_rollup", lambda s, d: scan.reports(items(s, d), scan.findings(items(s, d))),
+    "report_rollup", lambda s, d: scan.reports(items(s, d)),
     f"{ITEMS_SQL} SELECT a.kind, a.id, a.deliveries, coalesce(f.n, 0) AS finding_count, coalesce(f.h, 0) AS highest_severity, f.n IS NULL AS clean FROM (SELECT kind, id, count(*) AS deliveries FROM items GROUP BY kind, id) a LEFT JOIN (SELECT kind, id, count(*) AS n, max(severity) AS h FROM ({_ALL}) GROUP BY kind, id) f ON a.kind = f.kind AND a.id = f.id",
 )
 _add(
@@ -187,13 +187,14 @@ _metrics = "sum(CASE WHEN p AND y THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p AND
 _pred = f"regexp_matches(coalesce(text, ''), {quoted(C.RULES[2][1])}) OR regexp_matches(coalesce(text, ''), {quoted(C.RULES[8][1])})"
 
 
-def _classifier_metrics(s: SparkSession, d: str) -> DataFrame:
+def _rule_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Two injection rules held against the labels."""
     t = F.coalesce("text", F.lit(""))
     rows = table(s, d, "labelled_text").filter("label IN (0, 1)").select((F.col("label") == 1).alias("y"), (t.rlike(C.RULES[2][1]) | t.rlike(C.RULES[8][1])).alias("p"))
     return rows.selectExpr(*[f"CAST({m} AS BIGINT) AS {n}" for m, n in (x.split(" AS ") for x in _metrics.split(", "))])
 
 
-_add("classifier_metrics", _classifier_metrics, "SELECT " + ", ".join(f"CAST({m} AS BIGINT) AS {n}" for m, n in (x.split(" AS ") for x in _metrics.split(", "))) + f" FROM (SELECT label = 1 AS y, {_pred} AS p FROM labelled_text WHERE label IN (0, 1))")
+_add("rule_metrics", _rule_metrics, "SELECT " + ", ".join(f"CAST({m} AS BIGINT) AS {n}" for m, n in (x.split(" AS ") for x in _metrics.split(", "))) + f" FROM (SELECT label = 1 AS y, {_pred} AS p FROM labelled_text WHERE label IN (0, 1))")
 _add(
     "mime_sniff", lambda s, d: items(s, d).select("kind", "id", F.when(F.col("text").isNull(), "none").when(F.col("text").rlike(r"(?is)^\s*(?:<!doctype html|<html|<[a-z]+[ >/])"), "text/html").when(F.col("text").rlike(r"(?s)^\s*[{\[]"), "application/json").when(F.col("text").rlike(r"^(?:[A-Za-z0-9+/]{4})+={0,2}$"), "application/base64").otherwise("text/plain").alias("mime")).groupBy("kind", "mime").agg(F.count("*").alias("n")),
     ITEMS_SQL + r" SELECT kind, mime, count(*) AS n FROM (SELECT kind, CASE WHEN text IS NULL THEN 'none' WHEN regexp_matches(text, '(?is)^\s*(?:<!doctype html|<html|<[a-z]+[ >/])') THEN 'text/html' WHEN regexp_matches(text, '(?s)^\s*[{\[]') THEN 'application/json' WHEN regexp_matches(text, '^(?:[A-Za-z0-9+/]{4})+={0,2}$') THEN 'application/base64' ELSE 'text/plain' END AS mime FROM items) GROUP BY kind, mime",
@@ -217,6 +218,7 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("classifier_scores", lambda s, d: _scored(s, d).select("id", F.round("score", 6).alias("score"), "y"))
+_add("classifier_metrics", lambda s, d: classifier.metrics(_scored(s, d)))
 _add("threshold_sweep", lambda s, d: classifier.thresholds(_scored(s, d)))
 
 _add(
