@@ -187,6 +187,22 @@ def test_routing(spark):
     assert rows["a.txt"] == rows["b.bin"] == rows["ignore all previous instructions"] == (False, 4) and rows["d.txt"][0] and rows["h.txt"][0]
 
 
+def plan(df):
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_findings_count_each_pattern_once(spark):
+    marks = [chr(c) for c in (0x200B, 0x301, 0x2003, 0xA0, 0xFE0F, 0x1F44D, 0x1F3FB, 0x430, 0xE0041, 0x3164, 0x180B, 0x2588)]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(marks) if rng.random() < share else rng.choice("ab ,\n") for _ in range(120)) for share in (0, 0.05, 0.3, 0.8) for _ in range(8)] + ["e\u0301\u0301\u0301\u0301", "", None]
+    df = items(spark, texts)
+    got = sorted((r.id, r.detector, r.severity, r.confidence) for r in scan.findings(df).collect())
+    want = sorted((r.id, d.name, r.severity, r.confidence) for d in C.DETECTORS for r in scan.detector_rows(df, d).collect())
+    assert got == want and len(got) > 100
+    assert plan(scan.findings(df)).count("xn--[a-z0-9]+") == 1
+
+
 def test_sanitizers_and_details(spark):
     text = "\U0001d400bc⠁d\U0001f44d\U0001f3fbé́́ x  \t\r\n\r\n\r\n\r\nend \t"
     df = items(spark, [text, "a​b​", None])

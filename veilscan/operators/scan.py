@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
@@ -16,6 +17,15 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("bigint")
 
 
+def beyond_ascii(text: Column) -> Column:
+    """The text with each run of ASCII as one blank; empty where all is ASCII. Patterns of other characters alone match it as they match the text."""
+    return F.when(F.octet_length(text) > F.length(text), F.regexp_replace(text, r"[\x00-\x7F]+", " ")).otherwise("")
+
+
+#: Patterns of character classes without ASCII.
+_BEYOND = re.compile(r"(?:(?:\[(?:\\x\{(?!0{0,6}[0-7]?[0-9A-Fa-f]\})[0-9A-Fa-f]+\}-?|[^\x00-\x7f]-?)+\]|\\x\{(?!0{0,6}[0-7]?[0-9A-Fa-f]\})[0-9A-Fa-f]+\})(?:\{\d+,\})?)+")
+
+
 def any_of(text: Column, patterns: list[str]) -> Column:
     """How many of the patterns match."""
     return sum((text.rlike(p).cast("int") for p in patterns), F.lit(0))
@@ -44,15 +54,16 @@ def detector_rows(items: DataFrame, d: C.Detector) -> DataFrame:
 
 def findings(items: DataFrame, detectors: list[C.Detector] | None = None) -> DataFrame:
     """(kind, id, seq, detector, method, severity, confidence): all detectors over one scan of the items, no shuffle."""
-    rows = _with_findings(items.filter("text IS NOT NULL"), detectors).select("kind", "id", F.posexplode("found").alias("seq", "f"))
+    rows = once(_with_findings(items.filter("text IS NOT NULL"), detectors), "all", F.col("found")).select("kind", "id", F.posexplode("all").alias("seq", "f"))
     return rows.select("kind", "id", "seq", "f.detector", "f.method", "f.severity", "f.confidence")
 
 
 def _with_findings(rows: DataFrame, detectors: list[C.Detector] | None = None) -> DataFrame:
     """(kind, id, found): one row per item with the array of its findings."""
     detectors = C.DETECTORS if detectors is None else detectors
-    wide = F.octet_length("text") > F.length("text")
-    rows = rows.withColumns({f"{d.name}__{n}": F.when(wide, count_of(F.col("text"), p)).otherwise(F.lit(0).cast("bigint")) if d.wide else count_of(F.col("text"), p) for d in detectors for n, p in d.counts.items()}).drop("text")
+    rows = once(rows, "beyond", beyond_ascii(F.col("text")))
+    counted = lambda d, p: count_of(F.col("beyond"), p) if _BEYOND.fullmatch(p) else F.when(F.col("beyond") != "", count_of(F.col("text"), p)).otherwise(F.lit(0).cast("bigint")) if d.wide else count_of(F.col("text"), p)
+    rows = rows.withColumns({f"{d.name}__{n}": counted(d, p) for d in detectors for n, p in d.counts.items()}).drop("text", "beyond")
     found = []
     for d in detectors:
         names = sorted(d.counts, key=len, reverse=True)
@@ -90,8 +101,6 @@ def finding_details(items: DataFrame, detectors: list[C.Detector] | None = None)
 
 
 def _rename(sql: str, names: dict[str, str]) -> str:
-    import re
-
     return re.sub(r"\b[a-z_]+\b", lambda m: names.get(m[0], m[0]), sql)
 
 
