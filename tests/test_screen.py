@@ -32,6 +32,22 @@ def test_channels_carry_their_payload(spark):
     assert not {i for i, _ in got} & {8, 9, 10}
 
 
+def test_channels_of_line_ends_and_blanks(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([" ", " ", "\t", "\n", "\r\n", "\u00a0", "x", "  y"]) for _ in range(200)) for _ in range(20)] + ["".join(" " * rng.choice((2, 4, 6, 8, 3)) + "r\n" for _ in range(70))]
+    df = items(spark, texts)
+    got = {(r.id, r.channel): (r.n_symbols, r.payload_hex) for r in channels.channels(df).collect()}
+    as_hex = lambda b: "".join(f"{int(b[i:i + 8], 2):02x}" for i in range(0, len(b) - 7, 8))
+    for i, t in enumerate(texts):
+        trail = "".join(re.search(r"[ \t\r]*$", x)[0].replace("\r", "") for x in t.split("\n")).translate({32: "0", 9: "1"})
+        nbsp = "".join("01"["\u00a0" in x] for x in re.findall("[ \u00a0]+", t))
+        ind = "".join("01"[n in (4, 6)] for n in (len(m[0]) for m in (re.match(r" +(?=[^ \t\n\v\f\r])", x) for x in t.split("\n")) if m) if n in (2, 4, 6, 8))
+        for name, b in (("trailing", trail), ("nbsp", nbsp), ("indents", ind)):
+            assert got.get((i, name)) in (None, (len(b), as_hex(b)))
+    assert {c for _, c in got} == {"trailing", "nbsp", "indents"}
+    assert plan(channels.channels(df)).count(r"[^\x{2800}-") == 1
+
+
 def test_acrostics(spark):
     said = "One is here. In we go. Give it up. Now is it. Old as it is. Read on. Even so."
     rows = channels.acrostics(items(spark, [said, "One. Two.", None])).collect()

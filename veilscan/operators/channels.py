@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions import catalog as C
-from veilscan.operators.scan import count_of
+from veilscan.operators.scan import beyond_ascii, count_of, once
 
 
 def only(text: Column, characters: str) -> Column:
@@ -16,9 +16,8 @@ def only(text: Column, characters: str) -> Column:
 
 def bytes_of(bits: Column) -> Column:
     """Whole bytes of a string of 0 and 1, in hex; a rest of fewer than eight bits is dropped."""
-    whole = F.floor(F.length(bits) / 8).cast("int")
-    at = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(at, lambda i: F.lpad(F.conv(F.substring(bits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), "")
+    parts = F.regexp_extract_all(bits, F.lit("[01]{32}|[01]{8}"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.lpad(F.conv(x, 2, 16), F.floor(F.length(x) / 4).cast("int"), F.lit("0"))), "")
 
 
 def readable(hexadecimal: Column) -> Column:
@@ -41,10 +40,6 @@ def _characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: F.length(c) > 0)
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
-
-
 def _joined(parts: Column) -> Column:
     return F.array_join(parts, "")
 
@@ -63,35 +58,37 @@ def channels(items: DataFrame) -> DataFrame:
     as text. Null and empty texts have no channels; repeated rows repeat.
     """
     t = F.col("text")
-    rows = items.filter("text IS NOT NULL").select("kind", "id", "text")
-    trailing = F.transform(_lines(t), lambda x: F.replace(F.regexp_extract(x, r"([ \t\r]*)\z", 1), F.lit("\r"), F.lit("")))
+    rows = once(items.filter("text IS NOT NULL").select("kind", "id", "text"), "beyond", beyond_ascii(t))
+    b = F.col("beyond")
+    trailing = F.transform(F.regexp_extract_all(t, F.lit(r"[ \t\r](?<![ \t\r]{2})[ \t\r]*+(?=\n|\z)"), F.lit(0)), lambda x: F.replace(x, F.lit("\r"), F.lit("")))
+    indents = F.transform(F.regexp_extract_all(F.concat(F.lit("\n"), t), F.lit(r"\n( {2,8})(?=[^ \t\n\x0B\f\r])"), F.lit(1)), lambda x: F.length(x))
+    blanks = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[^ \u00a0]+", "|"), " +", "0"), "0?\u00a0[0\u00a0]*", "1")
+    tags = only(b, r"[\x{E0020}-\x{E007E}]")
+    found = {
+        "trailing": trailing, "indents": F.filter(indents, lambda n: n.isin(2, 4, 6, 8)), "n_lines": F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1,
+        "nbsp_bits": F.when(b.contains("\u00a0"), F.replace(blanks, F.lit("|"), F.lit(""))).otherwise(""), "emoji": _characters(only(b, C.EMOJI)), "spaces": only(b, C.SPACES),
+        "zero": _translate(only(b, "[\u200c\u200d]"), "\u200c\u200d", "01"), "tones": only(b, C.SKIN), "tag_text": _translate(tags, "".join(chr(c) for c in range(0xE0020, 0xE007F)), "".join(chr(c) for c in range(0x20, 0x7F))), "braille": only(b, C.BRAILLE),
+    }
+    rows = once(rows, "x", F.struct(*[c.alias(n) for n, c in found.items()])).select("kind", "id", "x.*")
+    trailing, indents, emoji, spaces, tones, braille = (F.col(n) for n in ("trailing", "indents", "emoji", "spaces", "tones", "braille"))
     dense, sparse = F.size(F.filter(trailing, lambda x: F.length(x) >= 3)), F.size(F.filter(trailing, lambda x: F.length(x).between(1, 2)))
-    indents = F.transform(F.filter(_lines(t), lambda x: x.rlike(r"^ +\S")), lambda x: F.length(F.regexp_extract(x, "^( +)", 1)))
-    indents = F.filter(indents, lambda n: n.isin(2, 4, 6, 8))
-    nbsp = F.transform(F.regexp_extract_all(t, F.lit("[ \u00a0]+"), F.lit(0)), lambda x: F.when(x.contains("\u00a0"), "1").otherwise("0"))
-    emoji = _characters(only(t, C.EMOJI))
     kinds = F.array_distinct(emoji)
     n_first = F.size(F.filter(emoji, lambda c: c == F.try_element_at(kinds, F.lit(1))))
-    spaces = only(t, C.SPACES)
-    n_spaces, space_bits = _symbols(spaces, F.array_sort(F.array_distinct(_characters(spaces))))
-    zero = _translate(only(t, "[\u200c\u200d]"), "\u200c\u200d", "01")
-    tones = only(t, C.SKIN)
+    _, space_bits = _symbols(spaces, F.array_sort(F.array_distinct(_characters(spaces))))
     tone_bits = tones
     for tone, bits in zip(C.TONES, C.TONE_BITS):
         tone_bits = F.replace(tone_bits, F.lit(tone), F.lit(bits))
-    tags = only(t, r"[\x{E0020}-\x{E007E}]")
-    tag_text = _translate(tags, "".join(chr(c) for c in range(0xE0020, 0xE007F)), "".join(chr(c) for c in range(0x20, 0x7F)))
-    braille = only(t, C.BRAILLE)
     cells = _joined(F.transform(_characters(braille), lambda c: F.lpad(F.hex(F.ascii(c) - 0x2800), 2, "0")))
     bits = lambda parts, zero_at, one_at: _joined(F.transform(parts, lambda n: F.when(n.isin(*one_at), "1").otherwise("0")))
     ones = lambda parts, at: F.size(F.filter(parts, lambda n: n.isin(*at)))
     trail_bits = _translate(_joined(trailing), " \t", "01")
-    rows = rows.select(
-        "kind", "id", zero.alias("zero"), F.lower(F.hex(F.encode(tag_text, "UTF-8"))).alias("tags"), spaces.alias("spaces"), n_spaces.alias("n_space_kinds"), space_bits.alias("space_bits"), F.lower(cells).alias("cells"),
-        F.size(emoji).alias("n_emoji"), F.size(kinds).alias("n_emoji_kinds"), n_first.alias("n_first"), _joined(F.transform(emoji, lambda c: F.when(c == F.try_element_at(kinds, F.lit(1)), "0").otherwise("1"))).alias("emoji_bits"),
-        tone_bits.alias("tone_bits"), F.length(tones).alias("n_tones"), dense.alias("dense"), sparse.alias("sparse"), F.size(_lines(t)).alias("n_lines"), trail_bits.alias("trail_bits"),
-        _joined(nbsp).alias("nbsp_bits"), ones(indents, (2,)).alias("two"), ones(indents, (4,)).alias("four"), bits(indents, (2, 8), (4, 6)).alias("indent_bits"), ones(indents, (4, 6)).alias("ones"),
-    )
+    shown = {
+        "zero": F.col("zero"), "tags": F.lower(F.hex(F.encode(F.col("tag_text"), "UTF-8"))), "spaces": spaces, "space_bits": space_bits, "cells": F.lower(cells),
+        "n_emoji": F.size(emoji), "n_emoji_kinds": F.size(kinds), "n_first": n_first, "emoji_bits": _joined(F.transform(emoji, lambda c: F.when(c == F.try_element_at(kinds, F.lit(1)), "0").otherwise("1"))),
+        "tone_bits": tone_bits, "n_tones": F.length(tones), "dense": dense, "sparse": sparse, "n_lines": F.col("n_lines"), "trail_bits": trail_bits,
+        "nbsp_bits": F.col("nbsp_bits"), "two": ones(indents, (2,)), "four": ones(indents, (4,)), "indent_bits": bits(indents, (2, 8), (4, 6)), "ones": ones(indents, (4, 6)),
+    }
+    rows = once(rows, "y", F.struct(*[c.alias(n) for n, c in shown.items()])).select("kind", "id", "y.*")
     size = lambda c: F.length(F.col(c))
     n_nbsp = count_of(F.col("nbsp_bits"), "1")
     balanced = (F.col("n_emoji") >= 8) & (F.col("n_emoji_kinds") == 2) & (F.col("n_first") > 0.2 * F.col("n_emoji")) & (F.col("n_first") < 0.8 * F.col("n_emoji"))
@@ -109,7 +106,7 @@ def channels(items: DataFrame) -> DataFrame:
         ((F.col("two") >= 4) & (F.col("four") >= 4) & (size("indent_bits") >= 16) & (F.col("ones") >= 4) & (size("indent_bits") - F.col("ones") >= 4), "indents", size("indent_bits"), bytes_of(F.col("indent_bits")), F.when(size("indent_bits") >= 24, 3).otherwise(2), F.least(F.lit(0.88), 0.55 + 0.01 * size("indent_bits"))),
     ]
     hit = [F.when(when, F.struct(F.lit(name).alias("channel"), n.cast("bigint").alias("n_symbols"), F.lower(payload).alias("payload_hex"), severity.cast("int").alias("severity"), F.round(confidence.cast("double"), 4).alias("confidence"))) for when, name, n, payload, severity, confidence in found]
-    rows = rows.select("kind", "id", F.explode(F.array_compact(F.array(*hit))).alias("f"))
+    rows = once(rows, "hits", F.array_compact(F.array(*hit))).select("kind", "id", F.explode("hits").alias("f"))
     return rows.select("kind", "id", "f.channel", "f.n_symbols", "f.payload_hex", readable(F.col("f.payload_hex")).alias("payload"), "f.severity", "f.confidence")
 
 
