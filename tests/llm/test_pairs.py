@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from veilscan.llm import kernels, neardup, overlaps, pairs, splits
 
@@ -60,6 +62,49 @@ def test_words_agree_with_the_definition(texts):
     assert one[0] == two[0]
 
 
+def test_each_different_word_of_a_batch_is_hashed_once(texts, monkeypatch):
+    asked = []
+
+    class Known(dict):
+        def __getitem__(self, word):
+            asked.append(word)
+            return xxhash.xxh3_64_intdigest(word)
+
+    monkeypatch.setattr(kernels, "_HASHES", Known())
+    odd = [*texts, "  ", "_", "x_y  z ", "\u0130stanbul \u00b2 \U0001d7d8a\x00b", "\ud800 lone", None, "last"]
+    flat, sizes = kernels.word_hashes(odd)
+    want = [w.encode("utf-8", "surrogatepass") for t in odd for w in WORD.findall((t or "").lower())]
+    assert flat.tolist() == [xxhash.xxh3_64_intdigest(w) for w in want] and sizes.sum() == len(want)
+    assert sorted(asked) == sorted(set(want)) and len(asked) < len(want)
+    for none in ([], [None, ""]):
+        flat, sizes = kernels.word_hashes(none)
+        assert len(flat) == 0 and sizes.tolist() == [0] * len(none)
+
+
+def test_distinct_sets_tell_hashes_apart_by_their_last_bits():
+    rng = np.random.default_rng(5)
+    row = np.sort(rng.integers(0, 900, 5000))
+    h = rng.integers(0, 4, 5000).astype(kernels.U) << kernels.U(61) | rng.integers(0, 4, 5000).astype(kernels.U)
+    got_h, got_row = kernels.distinct_sets(h, row)
+    assert list(zip(got_row.tolist(), got_h.tolist())) == sorted({*zip(row.tolist(), h.tolist())})
+    assert [len(x) for x in kernels.distinct_sets(h[:0], row[:0])] == [0, 0]
+
+
+def test_kept_places_of_a_batch_are_those_of_each_text(texts):
+    known = [t for t in texts if t]
+    got = overlaps.kept_places(known)
+    assert got == [overlaps.kept_places([t])[0] for t in known] and sum(map(bool, got)) > 100
+
+
+def test_texts_of_pairs_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(f"w{i} " * 12,) for i in range(20)] * 2, "text string")
+    pairs_of = spark.createDataFrame([(1, 2)], "a bigint, b bigint")
+    one = pairs.class_texts(rows, "text", F.col("class_id").bitwiseAND(~15), "a")
+    assert one.count() == 20 and one.columns == ["a", "text"]
+    plan = pairs_of.join(one.hint("merge"), "a")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the pairs and the texts
+
+
 def test_minima_cover_every_window():
     rng = np.random.default_rng(5)
     order, row = rng.integers(0, 2**60, 500).astype(np.uint64), np.sort(rng.integers(0, 30, 500))

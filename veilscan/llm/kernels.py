@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,23 +36,30 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _word_bytes(text: str) -> list[bytes]:
-    if text.isascii():
-        return text.encode().translate(_PLAIN).split()
-    return [w.encode("utf-8", "surrogatepass") for w in WORD.findall(text.lower())]
+def _plain(text: str | None) -> bytes:
+    """The text's words in UTF-8, and spaces."""
+    if not text:
+        return b""
+    return text.encode().translate(_PLAIN) if text.isascii() else " ".join(WORD.findall(text.lower())).encode("utf-8", "surrogatepass")
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All words' 64-bit hashes, one text after the other, and the number of words of each text."""
-    flat = array("Q")
-    sizes = np.zeros(len(texts), np.int64)
-    get = _HASHES.__getitem__
-    for i, t in enumerate(texts):
-        if t:
-            found = _word_bytes(t)
-            flat.extend(map(get, found))
-            sizes[i] = len(found)
-    return np.frombuffer(flat, dtype=U) if len(flat) else np.zeros(0, U), sizes
+    """All words' 64-bit hashes, one text after the other, and the number of words of each text.
+
+    Words are cut out of one buffer and numbered by Arrow, so that Python sees each different word of the batch once.
+    """
+    parts = [_plain(t) for t in texts]
+    buffer = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
+    inside = buffer != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    sizes = np.diff(np.searchsorted(start, np.cumsum([1, *(len(x) + 1 for x in parts)])))
+    if not len(start):
+        return np.zeros(0, U), sizes
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(end - start)])
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(buffer[inside])]).dictionary_encode()
+    known = np.fromiter(map(_HASHES.__getitem__, found.dictionary.to_pylist()), U, len(found.dictionary))
+    return known[found.indices.to_numpy()], sizes
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -121,8 +127,16 @@ def fresh_rows(ids: np.ndarray, done: set[int]) -> np.ndarray:
 
 
 def distinct_sets(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct hashes, ordered by row and hash."""
-    order = np.lexsort((h, row))
+    """Each text's distinct hashes, ordered by row and hash.
+
+    They are sorted by one number, the row and as much of the hash as fits beside it, and by both where that leaves a tie.
+    """
+    bits = U(max(1, int(row.max(initial=0)).bit_length()))
+    key = (row.astype(U) << (U(64) - bits)) | (h >> bits)
+    order = np.argsort(key)
+    tied = key[order[1:]] == key[order[:-1]]
+    if (tied & (h[order[1:]] != h[order[:-1]])).any():
+        order = np.lexsort((h, row))
     h, row = h[order], row[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
@@ -149,7 +163,7 @@ def jaccard(left: list[str | None], right: list[str | None], k: int = 3) -> np.n
         keys.append((mix(h[i] + mix(pair.astype(U))), pair))
     both = np.sort(np.concatenate([keys[0][0], keys[1][0]]))
     met = both[1:][both[1:] == both[:-1]]  # in both sets: a pair's own hashes are distinct on each side
-    pair_of = keys[0][1][np.isin(keys[0][0], met)]
+    pair_of = keys[0][1][in_sorted(keys[0][0], met)]
     common = np.bincount(pair_of, minlength=n)
     union = count[at[0]] + count[at[1]] - common
     return np.where(union > 0, common / np.maximum(union, 1), 0.0)

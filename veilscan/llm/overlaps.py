@@ -55,14 +55,15 @@ def minima(h: np.ndarray, row: np.ndarray, hot: np.ndarray, window: int = WINDOW
     order = (h >> U(1)) | (hot.astype(U) << U(63))
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     size = np.diff(np.r_[first, n])
-    end = np.repeat(first + size, size)
     at = np.arange(n)
+    left = np.repeat(first + size, size) - at
     least, where = order.copy(), at.copy()
     for d in range(1, min(window, n)):
-        near = np.minimum(at + d, n - 1)
-        better = (at + d < end) & (order[near] < least)
-        least[better], where[better] = order[near][better], near[better]
-    return np.unique(where[at <= np.repeat(first + np.maximum(size - window, 0), size)])
+        better = np.flatnonzero((order[d:] < least[:-d]) & (left[:-d] > d))
+        least[better], where[better] = order[better + d], better + d
+    kept = np.zeros(n, bool)
+    kept[where[at <= np.repeat(first + np.maximum(size - window, 0), size)]] = True
+    return np.flatnonzero(kept)
 
 
 def _short(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,19 +127,18 @@ def postings(rows: DataFrame, common, held: bool) -> DataFrame:
     return rows.select("text").mapInArrow(run, "fp bigint, class_id bigint")
 
 
-def kept_places(word_list: list[str]) -> dict[int, list[int]]:
-    """Where a text's kept runs stand."""
-    flat, sizes = word_hashes([" ".join(word_list)])
-    h, row, pos = kgrams(flat, sizes, K)
-    out: dict[int, list[int]] = {}
-    for i in minima(h, row, np.zeros(len(h), bool)).tolist():
-        out.setdefault(int(h[i]), []).append(int(pos[i]))
+def kept_places(texts: list[str]) -> list[dict[int, list[int]]]:
+    """Where each text's kept runs stand."""
+    h, row, pos = kgrams(*word_hashes(texts), K)
+    kept = minima(h, row, np.zeros(len(h), bool))
+    out: list[dict[int, list[int]]] = [{} for _ in texts]
+    for fp, i, at in zip(h[kept].tolist(), row[kept].tolist(), pos[kept].tolist()):
+        out[i].setdefault(fp, []).append(at)
     return out
 
 
-def seeds(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+def seeds(ours: dict[int, list[int]], theirs: dict[int, list[int]]) -> list[tuple[int, int]]:
     """Places of the kept runs of both texts; a run that recurs is matched first with first, second with second."""
-    ours, theirs = kept_places(left), kept_places(right)
     return [x for fp, at in ours.items() for x in zip(at, theirs.get(fp, ()))]
 
 
@@ -187,18 +187,20 @@ def class_overlaps(rows: DataFrame, common: np.ndarray, least: float = 0.5, shin
     met = met.filter(F.col("shared") >= F.least(F.col("a").bitwiseAND(NEED_MASK), F.col("b").bitwiseAND(NEED_MASK)))
     pairs = stage(met.select(F.col("a").bitwiseAND(~NEED_MASK).alias("a"), F.col("b").bitwiseAND(~NEED_MASK).alias("b")), "overlap-pairs").df
     class_of = F.col("class_id").bitwiseAND(~NEED_MASK)
-    ta = class_texts(rows.filter("side = 'train'"), "text").select(class_of.alias("a"), F.col("text").alias("ta"))
-    tb = class_texts(rows.filter("side <> 'train'"), "text").select(class_of.alias("b"), F.col("text").alias("tb"))
+    ta = class_texts(rows.filter("side = 'train'"), "text", class_of, "a").withColumnRenamed("text", "ta")
+    tb = class_texts(rows.filter("side <> 'train'"), "text", class_of, "b").withColumnRenamed("text", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             share = exact_overlap(left, right, shingle)
             ok = np.flatnonzero(share >= least - 1e-12)
+            texts = list({t: None for x in ok for t in (left[x], right[x])})
+            known = {t: (words(t), places) for t, places in zip(texts, kept_places(texts))}
             covered = []
             for x in ok:
-                left_words, right_words = words(left[x]), words(right[x])
-                covered.append(aligned(left_words, right_words, seeds(left_words, right_words)) / len(right_words))
+                (left_words, ours), (right_words, theirs) = known[left[x]], known[right[x]]
+                covered.append(aligned(left_words, right_words, seeds(ours, theirs)) / len(right_words))
             at = pa.array(ok)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(share[ok]), pa.array(covered, pa.float64())], ["train_class", "held_class", "overlap", "covered"]
@@ -209,14 +211,18 @@ def class_overlaps(rows: DataFrame, common: np.ndarray, least: float = 0.5, shin
 
 
 def overlap_stages(samples: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(links between classes of equal texts, members: sample_id, class_id, side, source, n_words of each counted sample)."""
+    """(links between classes of equal texts, deliveries: sample_id, source, side, n_words, class_id of each counted row)."""
     rows = samples.select("sample_id", "source", split_of(F.col("split")).alias("side"), "text")
     rows = rows.filter("sample_id IS NOT NULL AND text IS NOT NULL AND side IS NOT NULL")
     read = read_once(rows, ["sample_id", "source", "side"], runs, COMMON, "overlap-read")
     common = heavy_of(read.df.filter("h IS NOT NULL").select("h", "n", "texts"), COMMON)
     links = stage(class_overlaps(rows, common, least), "overlap-links").df
-    members = read.df.filter("h IS NULL").select("sample_id", "source", "side", "n_words", F.col("class_id").bitwiseAND(~NEED_MASK).alias("class_id"))
-    return links, members.groupBy("sample_id", "class_id", (F.col("side") != "train").alias("held")).agg(
+    return links, read.df.filter("h IS NULL").select("sample_id", "source", "side", "n_words", F.col("class_id").bitwiseAND(~NEED_MASK).alias("class_id"))
+
+
+def class_members(deliveries: DataFrame) -> DataFrame:
+    """(sample_id, class_id, held, side, source, n_words): repeated deliveries count once."""
+    return deliveries.groupBy("sample_id", "class_id", (F.col("side") != "train").alias("held")).agg(
         F.min("side").alias("side"), F.min("source").alias("source"), F.min("n_words").alias("n_words")
     )
 
@@ -230,9 +236,9 @@ def cross_split_overlaps(samples: DataFrame, least: float = 0.5) -> DataFrame:
     other side, and the other side's least sample against each copy, so that no text and no row is lost (see also
     ``overlap_classes``, which has a row per class pair and membership). Empty tables give no rows.
     """
-    links, members = overlap_stages(samples, least)
+    links, deliveries = overlap_stages(samples, least)
     need = links.select(F.col("train_class").alias("class_id")).union(links.select(F.col("held_class"))).distinct()
-    members = stage(members.join(need, "class_id", "left_semi"), "overlap-members").df
+    members = stage(class_members(deliveries.join(need, "class_id", "left_semi")), "overlap-members").df
     sizes = members.groupBy("class_id", "held").agg(F.count("*").alias("n"), F.min("sample_id").alias("least_id"))
     members = members.join(sizes, ["class_id", "held"]).withColumn("lead", (F.col("n") <= EXPAND) | (F.col("sample_id") == F.col("least_id")))
     t = members.filter("NOT held").select(F.col("class_id").alias("train_class"), F.col("sample_id").alias("train_id"), F.col("source").alias("train_source"), F.col("lead").alias("t_lead"), F.col("least_id").alias("t_least"))
@@ -244,10 +250,10 @@ def cross_split_overlaps(samples: DataFrame, least: float = 0.5) -> DataFrame:
 
 def overlap_classes(samples: DataFrame, least: float = 0.5) -> DataFrame:
     """(sample_id, class_id, side, n_links): the class of every counted sample, and how many classes of the other side overlap with it."""
-    links, members = overlap_stages(samples, least)
+    links, deliveries = overlap_stages(samples, least)
     ends = links.select(F.col("train_class").alias("class_id"), F.lit(False).alias("held")).unionByName(links.select(F.col("held_class").alias("class_id"), F.lit(True).alias("held")))
     degree = ends.groupBy("class_id", "held").agg(F.count("*").alias("n_links"))
-    return members.join(degree, ["class_id", "held"], "left").select("sample_id", "class_id", "side", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return class_members(deliveries).join(degree, ["class_id", "held"], "left").select("sample_id", "class_id", "side", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def overlap_report(found: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from veilscan.llm.kernels import BlockCounter, jaccard, slices, text_class, word_hashes
+from veilscan.llm.kernels import BlockCounter, fresh_rows, jaccard, slices, text_class, word_hashes
 from veilscan.session import Stage, stage
 
 #: Groups of exact copies (and groups of records) beyond this size are given as pairs with their least member.
@@ -59,20 +59,25 @@ def read_once(rows: DataFrame, keep: list[str], grams, share: float, name: str,
 
 
 def with_class(rows: DataFrame, text: str) -> DataFrame:
-    """(class_id, text) of texts of ten words or more; the class is equal for equal word sequences."""
+    """(class_id, text) of texts of ten words or more, copies of a task once; the class is equal for equal word sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in slices(batches):
             flat, sizes = word_hashes(batch.column(0).to_pylist())
-            out = pa.RecordBatch.from_arrays([pa.array(text_class(flat, sizes)), batch.column(0)], ["class_id", "text"])
-            yield out.filter(pa.array(sizes >= LEAST_WORDS))
+            ids = text_class(flat, sizes)
+            out = pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0)], ["class_id", "text"])
+            yield out.filter(pa.array(fresh_rows(ids, done) & (sizes >= LEAST_WORDS)))
 
     return rows.select(text).mapInArrow(run, "class_id bigint, text string")
 
 
-def class_texts(rows: DataFrame, text: str) -> DataFrame:
-    """(class_id, text), one text a class; copies fall together before the shuffle."""
-    return with_class(rows, text).groupBy("class_id").agg(F.min("text").alias("text"))
+def class_texts(rows: DataFrame, text: str, key: Column, name: str) -> DataFrame:
+    """(``name``, text), one text for each value that ``key`` makes of class_id; copies of a task fall together before the shuffle.
+
+    Texts are shuffled and sorted by the name once, for the groups and for a join on it.
+    """
+    return with_class(rows, text).select(key.alias(name), "text").repartition(name).groupBy(name).agg(F.min("text").alias("text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float, k: int = 3) -> DataFrame:
